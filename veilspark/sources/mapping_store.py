@@ -32,11 +32,14 @@ def _batches(spark: SparkSession, path: str) -> dict[int, str]:
     return found
 
 
-def write_batch(mappings: DataFrame, path: str, batch: int) -> None:
+def write_batch(mappings: DataFrame, path: str, batch: int, keep_empty: bool = True) -> None:
     """Add one batch; writing the same batch again replaces it."""
-    mappings.select("scope", "mask", "value").write.mode("overwrite").parquet(
-        f"{path}/batch={batch}"
-    )
+    folder = f"{path}/batch={batch}"
+    mappings.select("scope", "mask", "value").write.mode("overwrite").parquet(folder)
+    spark = mappings.sparkSession
+    if not keep_empty and spark.read.schema(MAPPING).parquet(folder).isEmpty():
+        fs, written = _hadoop_path(spark, folder)
+        fs.delete(written, True)
 
 
 def save_mappings(mappings: DataFrame, path: str) -> None:

@@ -74,12 +74,7 @@ def flush_mappings(
     state = latest_mappings(span_mapping_rows(found, scope, order))
 
     def flush(changed: DataFrame, batch: int) -> None:
-        changed.persist()
-        try:
-            if not changed.isEmpty():
-                write_batch(changed, path, batch)
-        finally:
-            changed.unpersist()
+        write_batch(changed, path, batch, keep_empty=False)
 
     return (
         _writer(state, name, checkpoint, interval).outputMode("update").foreachBatch(flush).start()
