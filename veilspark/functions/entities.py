@@ -139,8 +139,11 @@ def fill_positions(words: Column, text: Column) -> Column:
     def search(t: Column, bound: Column) -> Column:
         def step(last: Column, word: Column) -> Column:
             piece = word["piece"]
-            at = F.when(piece == "", F.least(last, F.length(t)) + 1).otherwise(
-                F.position(piece, t, last + 1)
+            # contains rules a word out much faster than position, which most often finds none
+            at = (
+                F.when(piece == "", F.least(last, F.length(t)) + 1)
+                .when(t.contains(piece), F.position(piece, t, last + 1))
+                .otherwise(F.lit(0))
             )
 
             def place(found: Column) -> Column:
@@ -187,32 +190,49 @@ def merge_entities(words: Column, text: Column) -> Column:
         )
 
     def build(bound: Column, blocks: Column) -> Column:
+        def source(start: Column, end: Column) -> Column:
+            low = F.least(start, end)
+            return cut(blocks, low, F.greatest(start, end) - low)
+
+        def closed(current: Column) -> Column:
+            # the text of a merged entity is only cut when the entity is complete
+            merged = source(current["start"], current["end"])
+            return current.withField("word", F.coalesce(current["word"], merged))
+
         def step(current: Column, word: Column) -> Column:
             kind = map_entity(word["entity"])
             gap = word["start"] - current["end"]
-            low = F.least(current["start"], word["end"])
-            high = F.greatest(current["start"], word["end"])
             near = (kind == current["type"]) & gap.between(0, 2) & current["start"].isNotNull()
+            # what the word adds is nearly always visible; only if not, look at the whole
+            grows = (word["end"] > current["end"]) & (current["end"] >= current["start"])
+            added = F.when(grows, source(current["end"], word["end"]))
+            visible = F.when(~is_blank(added), F.lit(True)).otherwise(
+                ~is_blank(source(current["start"], word["end"]))
+            )
 
-            def decide(merged: Column) -> Column:
-                fits = ~is_blank(merged)
+            def decide(fits: Column) -> Column:
                 joined = F.struct(
                     current["entity"].alias("entity"),
                     current["type"].alias("type"),
-                    merged.alias("word"),
+                    F.lit(None).cast("string").alias("word"),
                     F.least(current["score"], word["score"]).alias("score"),
                     current["start"].alias("start"),
                     word["end"].alias("end"),
                 )
                 # only the entity closed by the end of the text must have a visible word
-                ends_well = word["piece"].isNotNull() | ~is_blank(current["word"])
-                closes = ~fits & current["start"].isNotNull() & ends_well
-                return outcome(
-                    F.when(fits, joined).otherwise(opened(word, kind)),
-                    F.when(closes, F.array(current)).otherwise(empty(ENTITY)),
-                )
+                last = word["piece"].isNull()
+                out = F.when(
+                    ~fits & current["start"].isNotNull(),
+                    let(
+                        closed(current),
+                        lambda c: F.when(last & is_blank(c["word"]), empty(ENTITY)).otherwise(
+                            F.array(c)
+                        ),
+                    ),
+                ).otherwise(empty(ENTITY))
+                return outcome(F.when(fits, joined).otherwise(opened(word, kind)), out)
 
-            return let(F.when(near, cut(blocks, low, high - low)), decide)
+            return let(F.when(near, visible).otherwise(F.lit(False)), decide)
 
         # a last, empty item closes the entity that is still open
         items = F.concat(bound, F.array(nothing(WORD)))
@@ -262,27 +282,108 @@ def filter_confidence_hybrid(found: Column) -> Column:
     return F.filter(found, lambda m: m["score"] >= min_confidence(m["type"], 1))
 
 
+_ITEM = T.StructType([
+    T.StructField("lo", T.IntegerType()),
+    T.StructField("no", T.IntegerType()),
+    T.StructField("hi", T.IntegerType()),
+    T.StructField("start", T.IntegerType()),
+    T.StructField("end", T.IntegerType()),
+    T.StructField("stop", T.IntegerType()),
+    T.StructField("hit", DETECTION),
+])
+
+
+def _item(hit: Column, no: Column, start: Column, end: Column) -> Column:
+    """``start`` to ``end`` is what a candidate claims, index to ``stop`` what it takes."""
+    return let(
+        span_end(hit),
+        lambda stop: F.struct(
+            F.least(start, end).alias("lo"),
+            no.cast("int").alias("no"),
+            F.greatest(start, end, stop).alias("hi"),
+            start.alias("start"),
+            end.alias("end"),
+            stop.alias("stop"),
+            hit.alias("hit"),
+        ),
+    )
+
+
+def _clusters(items: Column) -> Column:
+    """Groups of items with nothing of one reaching into another, by a sweep over the text."""
+
+    def step(state: Column, item: Column) -> Column:
+        apart = item["lo"].isNull() | (item["lo"] >= state["reach"])
+        now = F.when(
+            apart, F.struct(item["hi"].alias("reach"), F.array(item).alias("open"))
+        ).otherwise(
+            F.struct(
+                F.greatest(state["reach"], item["hi"]).alias("reach"),
+                F.array_append(state["open"], item).alias("open"),
+            )
+        )
+        complete = apart & (F.size(state["open"]) > 0)
+        return outcome(
+            now, F.when(complete, F.array(state["open"])).otherwise(empty(T.ArrayType(_ITEM)))
+        )
+
+    # a last, empty item completes the group that is still open
+    last = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _ITEM.fields])
+    start = F.struct(F.lit(0).alias("reach"), empty(_ITEM).alias("open"))
+    ordered = F.concat(F.sort_array(items), F.array(last))
+    return fold_emit(ordered, start, step, T.ArrayType(_ITEM))
+
+
 def detect_hybrid(spans: Column, found: Column) -> Column:
-    """Pattern hits, then the entities that overlap nothing accepted before them."""
+    """Pattern hits, then the entities that overlap nothing accepted before them.
 
-    def clear_of(accepted: Column, m: Column) -> Column:
-        return ~F.exists(
-            accepted, lambda s: overlaps(s["index"], span_end(s), m["start"], m["end"])
+    Whether an entity is accepted depends only on what lies around it, so the text is first
+    swept into groups that do not touch; the order of arrival is then followed inside each.
+    """
+
+    def by_arrival(items: Column) -> Column:
+        return F.sort_array(
+            F.transform(items, lambda x: F.struct(x["no"].alias("no"), x.alias("x")))
         )
 
-    def accept(acc: Column, m: Column) -> Column:
-        hit = F.struct(
-            m["type"].alias("type"),
-            m["value"].alias("value"),
-            m["start"].alias("index"),
-            F.lit("ml").alias("source"),
-            m["score"].alias("confidence"),
+    def accept(taken: Column, entry: Column) -> Column:
+        x = entry["x"]
+        blocked = (x["no"] >= 0) & F.exists(
+            taken,
+            lambda a: overlaps(a["hit"]["index"], a["stop"], x["start"], x["end"]),
         )
-        return F.when(clear_of(acc, m), F.array_append(acc, hit)).otherwise(acc)
+        return F.when(blocked, taken).otherwise(F.array_append(taken, x))
 
-    def build(bound: Column) -> Column:
-        # pattern hits never change, so they are tested outside the sequential part
-        free = F.filter(filter_confidence_hybrid(found), lambda m: clear_of(bound, m))
-        return F.concat(bound, F.aggregate(free, empty(DETECTION), accept))
+    def choose(group: Column) -> Column:
+        taken = F.when(F.size(group) == 1, group).otherwise(
+            F.aggregate(by_arrival(group), empty(_ITEM), accept)
+        )
+        return F.filter(taken, lambda x: x["no"] >= 0)
 
-    return let(spans, build)
+    def build(bound: Column, entities: Column) -> Column:
+        hits = F.transform(
+            bound, lambda s: _item(s, F.lit(-1), s["index"], span_end(s))
+        )
+        candidates = F.transform(
+            entities,
+            lambda m, i: _item(
+                F.struct(
+                    m["type"].alias("type"),
+                    m["value"].alias("value"),
+                    m["start"].alias("index"),
+                    F.lit("ml").alias("source"),
+                    m["score"].alias("confidence"),
+                ),
+                i,
+                m["start"],
+                m["end"],
+            ),
+        )
+        chosen = F.flatten(F.transform(_clusters(F.concat(hits, candidates)), choose))
+        return F.concat(bound, F.transform(by_arrival(chosen), lambda c: c["x"]["hit"]))
+
+    kept = filter_confidence_hybrid(found)
+    return let(
+        spans,
+        lambda s: let(kept, lambda k: F.when(F.size(k) > 0, build(s, k)).otherwise(s)),
+    )

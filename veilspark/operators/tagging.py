@@ -5,11 +5,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.entities import chunk_text, detect_ml
 from ..schema import TAGGED_CHUNK
@@ -17,6 +19,8 @@ from ..schema import TAGGED_CHUNK
 # Ship this module's functions inside the task: executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+_ARROW_ANSWER = to_arrow_type(TAGGED_CHUNK)
+
 Token = dict
 Tagger = Callable[[Sequence[str]], Sequence[Sequence[Token]]]
 
@@ -57,8 +61,8 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
     carries the error and no token, so detection goes on with patterns only.
     """
 
-    @F.pandas_udf(T.ArrayType(TAGGED_CHUNK))
-    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(TAGGED_CHUNK))
+    def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             tagger = load()
         except Exception as failure:
@@ -68,16 +72,13 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
                 raise RuntimeError(reason)
 
         for batch in batches:
-            sizes = [0 if texts is None else len(texts) for texts in batch]
-            flat = [text for texts in batch if texts is not None for text in texts]
+            chunks = batch.flatten().to_pylist()
             done: list[dict] = []
-            for i in range(0, len(flat), batch_size):
-                done += _run(tagger, flat[i : i + batch_size])
-            rows, at = [], 0
-            for size in sizes:
-                rows.append(done[at : at + size])
-                at += size
-            yield pd.Series(rows, index=batch.index, dtype=object)
+            for i in range(0, len(chunks), batch_size):
+                done += _run(tagger, chunks[i : i + batch_size])
+            ends = np.cumsum(np.concatenate([[0], batch.value_lengths().fill_null(0).to_numpy()]))
+            answers = pa.array(done, type=_ARROW_ANSWER)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), answers)
 
     return tag
 
