@@ -1,0 +1,214 @@
+"""Text helpers, sites, settings, previews, mapping stores, sources and streams."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import veilspark as v
+from veilspark.functions.text import escape_html, field_text, is_blank, js_trim, text_content
+from veilspark.operators import joins
+from veilspark.operators.sites import url_host, url_scheme
+from veilspark.sources.mapping_store import write_batch
+
+NBSP = "\u00a0"
+
+
+def test_trim_and_blank(one):
+    assert one(js_trim(F.lit(f"\t{NBSP} a b\u3000\n\ufeff"))) == "a b"
+    for text, blank in ((None, True), ("", True), (f" {NBSP}\n", True), (" x", False)):
+        assert one(is_blank(F.lit(text).cast("string"))) is blank
+
+
+def test_field_text(one):
+    null = F.lit(None).cast("string")
+    assert one(field_text(F.lit(""), null, F.lit("c"))) == "c"
+    assert one(field_text(F.lit("a"), F.lit("b"))) == "a"
+    assert one(field_text(null, F.lit(""))) == ""
+
+
+def test_escape_html(one):
+    assert one(escape_html(F.lit(f"<b>a & b{NBSP}</b>\""))) == '&lt;b&gt;a &amp; b&nbsp;&lt;/b&gt;"'
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title='a>b' id=\"x>\">A</p>", "A"),
+        ("a<!-- <p>x</p> -->b<!-- open", "ab"),
+        ("<SCRIPT type=x>var a = '</p>'</script >a<style>p{}</style>b", "ab"),
+        ("1 < 2 &amp;&lt;&#233;&#xE9;&#x1F600;&nbsp;", f"1 < 2 &<éé😀{NBSP}"),
+        ("&amp;lt; &#38;lt; &bogus; &#xZZ; &#; & &#55296; a&b", "&lt; &lt; &bogus; &#xZZ; &#; & \ufffd a&b"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_text_content(one, html, text):
+    assert one(text_content(F.lit(html).cast("string"))) == text
+
+
+def test_sites(texts, spark):
+    urls = [
+        "https://chatgpt.com/c/1?q#x", "http://chatgpt.com/", "https://www.chatgpt.com/", "https://CHATGPT.com",
+        "https://user:pw@claude.ai:443/x", "https://evil.com/https://claude.ai/", "https://claude.ai.evil.com/",
+        "https://evil.com@x.com/", "https://x.com@evil.com/", None, "x.com", "https://a|b.com/ x",
+    ]
+    df = texts(*urls)
+    kept = {r["id"] for r in v.site_filter(df, "text").collect()}
+    assert kept == {0, 3, 4, 7}
+    table = spark.createDataFrame(v.SITES, "scheme string, host string")
+    assert {r["id"] for r in v.site_filter(df, "text", table).collect()} == kept
+    assert v.site_filter(df, "text", table).columns == df.columns
+    row = df.where("id = 4").select(url_scheme(F.col("text")).alias("s"), url_host(F.col("text")).alias("h")).first()
+    assert tuple(row) == ("https", "claude.ai")
+
+
+SETTINGS = "scope string, enabled boolean, maskingMode string, useML boolean"
+
+
+def test_settings_defaults(texts, spark):
+    settings = spark.createDataFrame(
+        [("0", None, None, None), ("1", False, "", False), ("2", True, "hybrid", None)], SETTINGS
+    )
+    df = texts(*"abcd").withColumn("scope", F.col("id").cast("string"))
+    got = v.apply_settings(df, settings).orderBy("id").collect()
+    assert [(r["enabled"], r["maskingMode"], r["useML"]) for r in got] == [
+        (True, "regex", True), (False, "regex", False), (True, "hybrid", True), (True, "regex", True),
+    ]
+
+
+def test_settings_updates(spark):
+    log = spark.createDataFrame(
+        [("a", True, "hybrid", False, 1), ("b", False, "regex", True, 1)], SETTINGS + ", version int"
+    )
+    changes = spark.createDataFrame([("a", False, 2), ("c", False, 2)], "scope string, enabled boolean, version int")
+    got = {r["scope"]: tuple(r)[1:] for r in v.latest_settings(v.update_settings(log, changes)).collect()}
+    assert got == {"a": (False, "hybrid", True), "b": (False, "regex", True), "c": (False, None, True)}
+
+
+def test_lookup_joins_agree_whatever_the_size(spark):
+    """One key holds a third of all rows; both join strategies give the same whole result."""
+    rows = spark.range(3000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("scope")
+    )
+    side = spark.range(2000).select(F.col("id").cast("string").alias("scope"), F.lit(1).alias("x"))
+    side = side.unionByName(spark.createDataFrame([("hot", 2)], "scope string, x int"))
+    small = joins.join_lookup(rows, side, ["scope"], "left")
+    large = joins.join_lookup(rows, side, ["scope"], "left", max_rows=100)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.select("id", "x").collect()), key=str) == sorted(
+        map(tuple, large.select("id", "x").collect()), key=str
+    )
+    assert small.where("x = 2").count() == 1000
+
+
+def test_preview_and_decisions(texts, spark):
+    df = texts("call 206-555-1234, 206-555-9999", "a@b.org", "hello", " \t", None)
+    previews = v.preview(df)
+    got = {r["id"]: r for r in previews.collect()}
+    assert set(got) == {0, 1, 2}
+    assert got[0]["subtitle"] == "Found 2 sensitive items that will be protected"
+    assert got[1]["subtitle"] == "Found 1 sensitive item that will be protected"
+    assert got[2]["subtitle"] == "No sensitive information detected - safe to send"
+    assert got[0]["title"] == "PII Detected - Review Before Sending" and got[2]["title"] == "Ready to Send"
+    choices = {0: "original", 1: "protected", 2: "protected"}
+    decided = spark.createDataFrame(list(choices.items()), "id int, choice string")
+    sent = {r["id"]: r["sent"] for r in v.resolve_decisions(previews, decided, ["id"]).collect()}
+    assert sent == {0: "call 206-555-1234, 206-555-9999", 1: "[REDACTED_EMAIL]", 2: "hello"}
+    cancelled = spark.createDataFrame([(0, "cancel")], "id int, choice string")
+    assert v.resolve_decisions(previews, cancelled, ["id"]).count() == 0
+    html = {r["id"]: r["masked_html"] for r in v.preview_html(previews).collect()}
+    assert html == {0: "call [REDACTED_PHONE], [REDACTED_PHONE]", 1: "[REDACTED_EMAIL]", 2: None}
+
+
+MESSAGES = [
+    (1, "s", "call 206-555-0001 then 206-555-0002"),
+    (2, "s", "ask Dr. Ann Lee"),
+    (3, "t", "call 206-555-0003"),
+    (4, "s", "nothing"),
+]
+
+
+def test_latest_mappings(spark):
+    df = spark.createDataFrame(MESSAGES, "k int, scope string, text string")
+    cascade = v.latest_mappings(v.cascade_mapping_rows(df, "scope", F.col("k")))
+    assert {tuple(r) for r in cascade.collect()} == {
+        ("s", "[REDACTED_PHONE]", "206-555-0002"), ("s", "[REDACTED_NAME]", "Dr. Ann Lee"),
+        ("t", "[REDACTED_PHONE]", "206-555-0003"),
+    }
+    spans = v.latest_mappings(v.span_mapping_rows(v.detect_pii(df), "scope", F.col("k")))
+    assert ("s", "[REDACTED_PHONE]", "206-555-0001") in {tuple(r) for r in spans.collect()}
+
+
+def test_mapping_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "scope string, mask string, value string"
+
+    def stored():
+        return {tuple(r) for r in v.load_mappings(spark, path).collect()}
+
+    assert stored() == set()
+    v.save_mappings(spark.createDataFrame([("s", "m", "1"), ("s", "n", "2")], schema), path)
+    assert stored() == {("s", "m", "1"), ("s", "n", "2")}
+    v.save_mappings(spark.createDataFrame([("s", "m", "3")], schema), path)
+    assert stored() == {("s", "m", "3")}
+    for batch in range(8, 12):
+        write_batch(spark.createDataFrame([("s", "m", f"v{batch}"), ("t", f"m{batch}", "x")], schema), path, batch)
+    assert ("s", "m", "v11") in stored() and len(stored()) == 5
+    os.remove(f"{path}/batch=11/_SUCCESS")  # a write that did not complete does not count
+    assert ("s", "m", "v10") in stored() and len(stored()) == 4
+    before = stored()
+    v.compact_mappings(spark, path)
+    assert stored() == before
+
+
+def test_read_spread_and_write(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(i, "x", f"mail u{i}@b.org") for i in range(20)], "k int, other string, text string").coalesce(
+        1
+    ).write.parquet(path)
+    df = v.read_messages(spark, path, keys=("k",))
+    assert df.columns == ["k", "text"] and df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "other" not in df._jdf.queryExecution().executedPlan().toString()
+    out = str(tmp_path / "out")
+    v.write_masked(v.mask_messages(df), out, partition_by=())
+    rows = spark.read.parquet(out)
+    assert rows.columns == ["k", "text"] and {r["text"] for r in rows.collect()} == {"mail [REDACTED_EMAIL]"}
+    lines = str(tmp_path / "lines")
+    os.makedirs(lines)
+    with open(f"{lines}/a.txt", "w") as f:
+        f.write("ip 10.0.0.1\nnone\n")
+    got = v.mask_messages(v.read_messages(spark, lines, "value", fmt="text"), "value")
+    assert {r["masked"] for r in got.collect()} == {"ip [REDACTED_IP]", "none"}
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "k int, scope string, text string"
+    df = spark.createDataFrame(MESSAGES + [(5, "t", "  ")], schema)
+    df.repartition(3).write.parquet(source)
+
+    def stream():
+        return v.read_message_stream(spark, source, schema, max_files_per_trigger=1)
+
+    def run(frame, name):
+        out = str(tmp_path / name)
+        v.write_stream(frame, out, name).awaitTermination()
+        return {tuple(r) for r in spark.read.parquet(out).collect()}
+
+    expected = {tuple(r) for r in v.mask_messages(v.nonblank(df)).select("k", "masked").collect()}
+    assert run(v.mask_stream(stream()).select("k", "masked"), "spans") == expected
+    cascade = run(v.mask_stream(stream(), cascade=True).select("k", "masked"), "cascade")
+    assert len(cascade) == 4 and (2, "ask [REDACTED_NAME]") in cascade
+    assert {k for k, *_ in run(v.alert_stream(stream()), "alerts")} == {1, 2, 3}
+
+    store = str(tmp_path / "store")
+    query = v.flush_mappings(stream(), store, "scope", F.col("k"), "flush", interval=None)
+    query.awaitTermination()
+    batch = v.latest_mappings(v.span_mapping_rows(v.detect_pii(df), "scope", F.col("k")))
+    assert {tuple(r) for r in v.load_mappings(spark, store).collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_checkpoint_folder_is_the_session_s(spark):
+    assert v.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")

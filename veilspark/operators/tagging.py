@@ -65,11 +65,11 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             tagger = load()
-        except Exception as failure:
-            reason = f"{type(failure).__name__}: {failure}"
+        except Exception as error:
+            failure = error
 
-            def tagger(chunks, reason=reason):
-                raise RuntimeError(reason)
+            def tagger(chunks):
+                raise failure
 
         for batch in batches:
             chunks = batch.flatten().to_pylist()
