@@ -11,7 +11,7 @@ from .operators.detect import (
 )
 from .operators.mappings import cascade_mapping_rows, latest_mappings, span_mapping_rows
 from .operators.mask import mask_changed, mask_columns, mask_messages
-from .operators.preview import preview, preview_html, resolve_decisions
+from .operators.preview import preview, preview_html, resolve_decisions, send_decided
 from .operators.settings import apply_settings, latest_settings, update_settings
 from .operators.sites import SITES, site_filter
 from .operators.tagging import tag_errors, tag_tokens, token_tagger, with_entities

@@ -58,6 +58,10 @@ def preview_html(previews: DataFrame, text: str = "text", masked: str = "masked"
     )
 
 
+def _sending(decisions: DataFrame, keys: list[str]) -> DataFrame:
+    return decisions.select(*keys, "choice").where(F.col("choice").isin("protected", "original"))
+
+
 def resolve_decisions(
     previews: DataFrame,
     decisions: DataFrame,
@@ -70,7 +74,25 @@ def resolve_decisions(
     ``protected`` sends the masked text (the original where nothing was found), ``original``
     the original; ``cancel``, and previews without a decision, send nothing.
     """
-    valid = decisions.select(*keys, "choice").where(F.col("choice").isin("protected", "original"))
-    joined = join_lookup(previews, valid, keys, "inner")
+    joined = join_lookup(previews, _sending(decisions, keys), keys, "inner")
     protect = (F.col("choice") == "protected") & F.col("has_pii")
     return joined.withColumn(out, F.when(protect, F.col("masked")).otherwise(F.col(text)))
+
+
+def send_decided(
+    df: DataFrame,
+    decisions: DataFrame,
+    keys: list[str],
+    text: str = "text",
+    load: Callable[[], Tagger] | None = None,
+    out: str = "sent",
+) -> DataFrame:
+    """``resolve_decisions`` straight from the messages, where no preview is to be kept.
+
+    The decisions are joined first, so that only texts sent as ``protected`` are scanned,
+    and a join that must shuffle moves the texts alone.
+    """
+    joined = join_lookup(nonblank(df, text), _sending(decisions, keys), keys, "inner")
+    flagged = joined.withColumn("_protect", F.col("choice") == "protected")
+    sent = mask_messages(flagged, text, load, enabled="_protect", out=out)
+    return sent.drop("_protect", "detections")

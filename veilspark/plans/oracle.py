@@ -362,6 +362,13 @@ SPAN_MAPPINGS = masked_sql(
 )
 
 
+SENT = preview_sql(
+    SOURCES["messages"][1],
+    "SELECT id AS k, choice, CASE WHEN choice = 'protected' THEN masked ELSE text END AS sent FROM "
+    "(SELECT *, CASE id % 4 WHEN 0 THEN 'protected' WHEN 1 THEN 'original' END AS choice FROM preview) WHERE choice IS NOT NULL",
+)
+
+
 def oracle() -> dict[str, str]:
     documents, pages = SOURCES["documents"][1], SOURCES["pages"][1]
     text_pages = f"SELECT page_id AS id, {text_content_sql('html')} AS text FROM pages"
@@ -417,11 +424,8 @@ def oracle() -> dict[str, str]:
             f"SELECT id AS k, {escape_sql('text')} AS original_html, "
             f"CASE WHEN has_pii THEN {escape_sql('masked')} END AS masked_html FROM preview",
         ),
-        "resolve_decisions_messages": preview_sql(
-            SOURCES["messages"][1],
-            "SELECT id AS k, choice, CASE WHEN choice = 'protected' THEN masked ELSE text END AS sent FROM "
-            "(SELECT *, CASE id % 4 WHEN 0 THEN 'protected' WHEN 1 THEN 'original' END AS choice FROM preview) WHERE choice IS NOT NULL",
-        ),
+        "resolve_decisions_messages": SENT,
+        "send_decided_messages": SENT,
         "site_filter_pages": f"SELECT page_id, url FROM pages WHERE ({origin_sql('url', 1)}, {origin_sql('url', 2)}) IN ({sites})",
         "site_table_pages": f"SELECT page_id, url FROM pages WHERE {origin_sql('url', 1)} = 'https' AND {origin_sql('url', 2)} IN "
         f"(SELECT {origin_sql('url', 2)} FROM pages WHERE contains(url, '?page='))",

@@ -39,7 +39,7 @@ from ..operators.detect import (
 from ..operators.lexical import load_lexical
 from ..operators.mappings import cascade_mapping_rows, latest_mappings, span_mapping_rows
 from ..operators.mask import mask_changed, mask_columns, mask_messages
-from ..operators.preview import preview, preview_html, resolve_decisions
+from ..operators.preview import preview, preview_html, resolve_decisions, send_decided
 from ..operators.settings import apply_settings, latest_settings, update_settings
 from ..operators.sites import site_filter
 from ..operators.tagging import tag_tokens
@@ -229,6 +229,11 @@ def resolve_decisions_messages(spark, root):
     return decided.select("k", "choice", "sent")
 
 
+def send_decided_messages(spark, root):
+    sent = send_decided(tables.messages(spark, root), tables.decisions(spark, root), ["k"])
+    return sent.select("k", "choice", "sent")
+
+
 def site_filter_pages(spark, root):
     return site_filter(tables.pages(spark, root), "url", PAGE_SITES).select("page_id", "url")
 
@@ -474,6 +479,7 @@ _QUERIES = (
     preview_conversations,
     preview_html_messages,
     resolve_decisions_messages,
+    send_decided_messages,
     site_filter_pages,
     site_table_pages,
     apply_settings_messages,

@@ -14,6 +14,8 @@ DEFAULTS = {
     # texts are wide rows: small Arrow batches keep Python workers within memory
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.session.timeZone": "UTC",
+    # recording the call site of every column costs more than building the expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
