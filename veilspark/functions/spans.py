@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..schema import DETECTION
 from .arrays import empty, let, running_total
 from .labels import mask_for, mask_label
-from .patterns import PATTERN_NAMES, SCANS, java_pattern
+from .patterns import KEYWORDS, PATTERN_NAMES, SCANS, java_pattern
 
 # Private-use characters set around each match.  No pattern can match them.
 _OPEN, _CLOSE = "\uE000", "\uE001"
@@ -21,16 +21,11 @@ _OPEN, _CLOSE = "\uE000", "\uE001"
 def _gates(text: Column) -> Column:
     """One flag per pattern, false where the pattern certainly has no match."""
 
-    def flags(facts: Column) -> Column:
+    def flags(digits: Column, keyword: Column) -> Column:
         fields = []
         for name in PATTERN_NAMES:
             scan = SCANS[name]
-            flag = facts["digits"] if scan.digits else F.lit(True)
-            for i, word in enumerate(scan.words):
-                hit = facts["lower"].contains(word)
-                words = hit if i == 0 else words | hit
-            if scan.words:
-                flag = flag & words
+            flag = keyword if scan.keyword else digits if scan.digits else F.lit(True)
             if scan.literal:
                 flag = flag & text.contains(scan.literal)
             if scan.gate:
@@ -38,10 +33,12 @@ def _gates(text: Column) -> Column:
             fields.append(flag.alias(name))
         return F.struct(*fields)
 
-    digits = text.rlike(r"\d{3}")
-    # I is replaced first because some locales do not lower it to an ASCII letter.
-    lower = F.when(digits, F.lower(F.replace(text, F.lit("I"), F.lit("i"))))
-    return let(F.struct(digits.alias("digits"), lower.alias("lower")), flags)
+    return let(
+        text.rlike(r"\d{3}"),
+        lambda digits: let(
+            digits & text.rlike(KEYWORDS), lambda keyword: flags(digits, keyword)
+        ),
+    )
 
 
 def _with_gates(text: Column, body: Callable[[Column, Column], Column]) -> Column:
