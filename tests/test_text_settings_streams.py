@@ -20,6 +20,15 @@ def test_trim_and_blank(one):
         assert one(is_blank(F.lit(text).cast("string"))) is blank
 
 
+def test_broken_and_padded_texts_take_linear_time(texts):
+    n = 200_000
+    rows = texts("<a " * n, "<script>" * n, "x" + " " * n + "y ", "<b '" * n, "&" * n).select(
+        "id", text_content(F.col("text")).alias("c"), js_trim(F.col("text")).alias("t")
+    ).orderBy("id").collect()
+    assert [len(r["c"]) for r in rows] == [0, 0, n + 3, 0, n]
+    assert rows[2]["t"] == "x" + " " * n + "y"
+
+
 def test_field_text(one):
     null = F.lit(None).cast("string")
     assert one(field_text(F.lit(""), null, F.lit("c"))) == "c"
@@ -39,6 +48,11 @@ def test_escape_html(one):
         ("<SCRIPT type=x>var a = '</p>'</script >a<style>p{}</style>b", "ab"),
         ("1 < 2 &amp;&lt;&#233;&#xE9;&#x1F600;&nbsp;", f"1 < 2 &<éé😀{NBSP}"),
         ("&amp;lt; &#38;lt; &bogus; &#xZZ; &#; & &#55296; a&b", "&lt; &lt; &bogus; &#xZZ; &#; & \ufffd a&b"),
+        ("x<a href='y", "x"),
+        ("x<a", "x"),
+        ("it<b class=x'y>z'", "itz'"),
+        ("<script>a", ""),
+        ("<?xml version='1.0'?><!doctype html>x", "x"),
         ("", ""),
         (None, None),
     ],

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from .arrays import let
 from .patterns import JAVA_SPACE
 
-_TRIM = f"^[{JAVA_SPACE}]+|[{JAVA_SPACE}]++$"
+# The run at the end is only tried from its start: from every character of an inner run, the
+# search would cost the square of its length.
+_TRIM = f"^[{JAVA_SPACE}]+|(?<![{JAVA_SPACE}])[{JAVA_SPACE}]++\\z"
+
+# What is opened and never closed reaches to the end of the page, as it does in a browser.
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_HIDDEN = r"(?is)<{0}(?:\s[^>]*+)?+>.*?(?:</{0}\s*+>|\z)"
+_QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))"""
+_TAG = r"<(?:/?[A-Za-z]|[!?])(?:[^>=]++|=\s*+" + _QUOTED + r"?+)*+(?:>|\z)"
 
 # Named character references decoded by text_content.
 REFERENCES = {
@@ -97,8 +105,8 @@ def text_content(html: Column) -> Column:
 
     References must end with a semicolon; names other than ``REFERENCES`` stay as written.
     """
-    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    text = F.regexp_replace(html, _COMMENT, "")
     for element in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{element}(?:\s[^>]*)?>.*?</{element}\s*>", "")
-    text = F.regexp_replace(text, r"""</?[A-Za-z!](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "")
+        text = F.regexp_replace(text, _HIDDEN.format(element), "")
+    text = F.regexp_replace(text, _TAG, "")
     return let(text, _decode_references)

@@ -164,9 +164,10 @@ def text_content_sql(html: str) -> str:
     for element in ("script", "style"):
         space = r"[ \t\n\x0B\f\r]"
         text = (
-            f"regexp_replace({text}, '(?is)<{element}(?:{space}[^>]*)?>.*?</{element}{space}*>', '', 'g')"
+            f"regexp_replace({text}, '(?is)<{element}(?:{space}[^>]*)?>.*?(?:</{element}{space}*>|\\z)', '', 'g')"
         )
-    tag = """</?[A-Za-z!](?:[^>"']+|"[^"]*"|'[^']*')*>"""
+    quoted = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
+    tag = r"<(?:/?[A-Za-z]|[!?])(?:[^>=]+|=[ \t\n\x0B\f\r]*" + quoted + r"?)*(?:>|\z)"
     text = f"regexp_replace({text}, {q(tag)}, '', 'g')"
     cases = " ".join(f"WHEN {q(name)} THEN {q(char)}" for name, char in REFERENCES.items())
     name = "split_part(p, ';', 1)"
