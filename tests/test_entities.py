@@ -266,6 +266,31 @@ def test_hybrid_acceptance_on_random_intervals(spark):
         assert [tuple(d) for d in row["d"]] == accept(spans, found)
 
 
+def test_interval_anti_join_on_random_tables(spark):
+    rng = random.Random(8)
+    spans = [
+        (rng.choice([1, 1, 1, 2, 3]), "x" * rng.choice([1, 5, 300, 900]), rng.randint(0, 4000))
+        for _ in range(60)
+    ]
+    spans += spans[:20]  # copies
+    entities = []
+    for n in range(600):
+        start = rng.randint(0, 4500)
+        entities.append((rng.choice([1, 2, 3, 4]), n, start, start + rng.choice([0, 1, 4, 260, 600, -3])))
+    kept = v.without_overlaps(
+        spark.createDataFrame(entities, "k int, no int, start int, end int"),
+        spark.createDataFrame(spans, "k int, value string, index int"),
+        ["k"],
+        "no",
+    )
+    expected = {
+        e for e in entities
+        if not any(s[0] == e[0] and s[2] < e[3] and e[2] < s[2] + len(s[1]) for s in spans)
+    }
+    rows = [(r["k"], r["no"], r["start"], r["end"]) for r in kept.collect()]
+    assert set(rows) == expected and len(rows) == len(expected) and 0 < len(rows) < 600
+
+
 # --- taggers ---------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from .operators.detect import (
     nonblank,
     only_pii,
 )
+from .operators.joins import join_lookup, without_overlaps
 from .operators.mappings import cascade_mapping_rows, latest_mappings, span_mapping_rows
 from .operators.mask import mask_changed, mask_columns, mask_messages
 from .operators.preview import preview, preview_html, resolve_decisions, send_decided

@@ -1,10 +1,12 @@
-"""Joining texts with small side tables."""
+"""Joins: texts with side tables, and stored entities with stored spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.resolve import overlaps
+
 # A side of at most this many narrow rows is sent to every executor.
 BROADCAST_ROWS = 100_000
 
@@ -27,3 +29,44 @@ def join_lookup(
     # take reads partitions one after another and stops once it has seen enough
     small = len(side.select(F.lit(1)).take(max_rows + 1)) <= max_rows
     return texts.join(F.broadcast(side) if small else side.hint("merge"), keys, how)
+
+
+_BLOCK_BITS = 8  # spans meet in blocks of 256 characters
+
+
+def without_overlaps(
+    entities: DataFrame, spans: DataFrame, keys: list[str], number: str
+) -> DataFrame:
+    """Entities that overlap no span of the same text: an interval anti join of two tables.
+
+    ``entities`` has ``keys``, ``number`` (unique per text), ``start`` and ``end``; ``spans``
+    has ``keys``, ``index`` and ``value``.  For texts still at hand, ``detect_hybrid`` does
+    the same without a join.  Both sides are laid out over blocks of the text, so rows of one
+    text meet only where they are near each other, and equal spans of copies are merged
+    before they are shuffled.
+    """
+
+    def blocks(low: Column, high: Column) -> Column:
+        first = F.shiftright(F.greatest(low, F.lit(0)), _BLOCK_BITS)
+        last = F.shiftright(F.greatest(high, F.lit(0)), _BLOCK_BITS)
+        return F.explode(F.sequence(first, last)).alias("_block")
+
+    start, end, index = F.col("start"), F.col("end"), F.col("index")
+    stop = index + F.length("value")
+    probe = entities.select(
+        *keys, number, start, end, blocks(F.least(start, end), F.greatest(start, end))
+    )
+    cover = spans.select(
+        *[F.col(key).alias(f"_{key}") for key in keys],
+        index.alias("_index"),
+        stop.alias("_stop"),
+        blocks(index, stop).alias("_cover"),
+    ).distinct()
+    near = F.col("_block") == F.col("_cover")
+    for key in keys:
+        near = near & (F.col(key) == F.col(f"_{key}"))
+    touching = probe.join(
+        cover, near & overlaps(F.col("_index"), F.col("_stop"), start, end), "left_semi"
+    )
+    hit = touching.select(*keys, number).distinct()
+    return entities.join(hit, [*keys, number], "left_anti")

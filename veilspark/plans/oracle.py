@@ -52,6 +52,10 @@ SOURCES = {
         f"SELECT k AS id, scope, {MESSAGE} AS text FROM (SELECT c_custkey AS k, "
         "CAST(c_nationkey AS VARCHAR) AS scope FROM customer)",
     ),
+    "letters": (
+        "k",
+        f"SELECT k AS id, 'Dear Bob Stone, ' || {MESSAGE} AS text FROM (SELECT c_custkey AS k FROM customer)",
+    ),
     "documents": ("doc_id", "SELECT doc_id AS id, text FROM documents"),
     "pages": ("page_id", "SELECT page_id AS id, html AS text FROM pages"),
 }
@@ -327,8 +331,8 @@ _ML = (
 )
 
 
-def hybrid_sql(select: str, mask: bool) -> str:
-    body = SOURCES["documents"][1]
+def hybrid_sql(source: str, select: str, mask: bool) -> str:
+    body = SOURCES[source][1]
     steps = [hits(body), *TO_ENTITIES, FOUND, HYBRID]
     if mask:
         steps += [RESOLVE.replace("FROM det)", "FROM det2)"), MASK]
@@ -478,10 +482,23 @@ def oracle() -> dict[str, str]:
         f"UNION ALL SELECT id, lower(value) FROM det), kinded AS (SELECT k, word, {kinds}[k % {len(KINDS)} + 1] AS kind FROM words) "
         "SELECT k, word, kind, " + ", ".join(f"({rule}) AS {name}" for name, rule in VALID.items()) + f", ({ALL_VALID}) AS valid FROM kinded",
         "detect_ml_documents": entity_sql((*TO_ENTITIES, FOUND), f"SELECT id AS doc_id, {_ML.format(no='no', word='value')} FROM ml"),
-        "detect_hybrid_documents": hybrid_sql(
-            'SELECT id AS doc_id, ordinal, type, value, "index", source, confidence FROM det2', mask=False
-        ),
-        "mask_hybrid_documents": hybrid_sql("SELECT id AS doc_id, masked FROM masked", mask=True),
+        "without_overlaps_letters": f"WITH RECURSIVE {', '.join([hits(SOURCES['letters'][1]), *TO_ENTITIES, FOUND])}, numbered AS "
+        f"(SELECT id AS k, {_ML.format(no='no', word='value')} FROM ml) SELECT * FROM numbered n WHERE NOT EXISTS "
+        '(SELECT 1 FROM det d WHERE d.id = n.k AND d."index" < n."end" AND n."start" < d."index" + length(d.value))',
+        **{
+            f"detect_hybrid_{source}": hybrid_sql(
+                source,
+                f'SELECT id AS {SOURCES[source][0]}, ordinal, type, value, "index", source, confidence FROM det2',
+                mask=False,
+            )
+            for source in ("documents", "letters")
+        },
+        **{
+            f"mask_hybrid_{source}": hybrid_sql(
+                source, f"SELECT id AS {SOURCES[source][0]}, masked FROM masked", mask=True
+            )
+            for source in ("documents", "letters")
+        },
         "latest_mappings_cascade_messages": cascade_mapping_sql(),
         "latest_mappings_spans_messages": SPAN_MAPPINGS,
         "mapping_store_messages": SPAN_MAPPINGS,

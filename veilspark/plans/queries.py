@@ -36,6 +36,7 @@ from ..operators.detect import (
     nonblank,
     only_pii,
 )
+from ..operators.joins import without_overlaps
 from ..operators.lexical import load_lexical
 from ..operators.mappings import cascade_mapping_rows, latest_mappings, span_mapping_rows
 from ..operators.mask import mask_changed, mask_columns, mask_messages
@@ -363,6 +364,14 @@ def detect_ml_documents(spark, root):
     return _rows(_tagged(spark, root), "doc_id", found, "no")
 
 
+def without_overlaps_letters(spark, root):
+    """Entities and pattern hits as two tables, joined on the text they come from."""
+    tagged = tag_tokens(tables.letters(spark, root), "text", load_lexical)
+    found = detect_ml(F.col("text"), F.col("chunks"), F.col("tagged"))
+    entities = _rows(tagged, "k", found, "no")
+    return without_overlaps(entities, detection_rows(tables.letters(spark, root), "k"), ["k"], "no")
+
+
 def detect_hybrid_documents(spark, root):
     found = detect_pii(tables.documents(spark, root), "text", load_lexical)
     return _rows(found, "doc_id", F.col("detections"), "ordinal")
@@ -374,6 +383,15 @@ def mask_hybrid_documents(spark, root):
     )
 
 
+def detect_hybrid_letters(spark, root):
+    found = detect_pii(tables.letters(spark, root), "text", load_lexical)
+    return _rows(found, "k", F.col("detections"), "ordinal")
+
+
+def mask_hybrid_letters(spark, root):
+    return mask_messages(tables.letters(spark, root), "text", load_lexical).select("k", "masked")
+
+
 # --- mappings and sinks --------------------------------------------------------------
 
 
@@ -496,8 +514,11 @@ _QUERIES = (
     filter_valid_documents,
     validity_rules_messages,
     detect_ml_documents,
+    without_overlaps_letters,
     detect_hybrid_documents,
     mask_hybrid_documents,
+    detect_hybrid_letters,
+    mask_hybrid_letters,
     latest_mappings_cascade_messages,
     latest_mappings_spans_messages,
     mapping_store_messages,

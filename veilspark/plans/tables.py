@@ -64,6 +64,12 @@ def messages(spark: SparkSession, root: str) -> DataFrame:
     return spread(rows).withColumn("text", message_text(F.col("k")))
 
 
+def letters(spark: SparkSession, root: str) -> DataFrame:
+    """The messages behind a salutation: entities both clear of pattern hits and inside them."""
+    text = F.concat(F.lit("Dear Bob Stone, "), F.col("text"))
+    return messages(spark, root).select("k", text.alias("text"))
+
+
 def settings(spark: SparkSession, root: str) -> DataFrame:
     """Settings of some nations, with gaps that the defaults fill."""
     nation = spark.read.parquet(f"{root}/nation.parquet").where("n_nationkey < 20")
