@@ -42,7 +42,9 @@ def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 def locate_token(token: Column, chunk: Column) -> Column:
     """Token with offsets in the text: its own, or its first occurrence in the chunk, or none."""
     known = token["start"].isNotNull() & token["end"].isNotNull()
-    clean = js_trim(F.regexp_replace(F.regexp_replace(token["word"], "^▁", ""), "^##", ""))
+    clean = F.when(
+        ~known, js_trim(F.regexp_replace(F.regexp_replace(token["word"], "^▁", ""), "^##", ""))
+    )
 
     def build(word: Column) -> Column:
         found = F.when(F.length(word) > 0, F.position(word, chunk["text"])).otherwise(F.lit(0))

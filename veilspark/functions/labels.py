@@ -117,11 +117,17 @@ def map_entity(tag: Column) -> Column:
 
 
 def plain_type(kind: Column) -> Column:
-    """Type as the thresholds and validity rules spell it."""
-    return F.regexp_replace(F.lower(kind), "^[bi]-", "")
+    """Type as the thresholds and validity rules spell it: lower case, no B- or I- prefix."""
+    known = {name: name.lower() for name in ENTITY_TYPES.values()}
+    # lower is slow for what is nearly always one of a few known names
+    return F.coalesce(_lookup(known, kind), F.regexp_replace(F.lower(kind), "^[bi]-", ""))
 
 
 def min_confidence(kind: Column, gate: int) -> Column:
     """Threshold of a type at the first (0) or second (1) gate."""
     table = {name: pair[gate] for name, pair in CONFIDENCE.items()}
-    return F.coalesce(_lookup(table, plain_type(kind)), F.lit(DEFAULT_CONFIDENCE[gate]))
+    default = DEFAULT_CONFIDENCE[gate]
+    known = {name: table.get(name.lower(), default) for name in ENTITY_TYPES.values()}
+    return F.coalesce(
+        _lookup(known, kind), _lookup(table, plain_type(kind)), F.lit(default)
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..schema import DETECTION
 from .arrays import empty, let, running_total
 from .labels import mask_for, mask_label
-from .patterns import KEYWORDS, PATTERN_NAMES, SCANS, java_pattern
+from .patterns import DIGITS, KEYWORDS, PATTERN_NAMES, SCANS, java_pattern
 
 # Private-use characters set around each match.  No pattern can match them.
 _OPEN, _CLOSE = "\uE000", "\uE001"
@@ -34,7 +34,7 @@ def _gates(text: Column) -> Column:
         return F.struct(*fields)
 
     return let(
-        text.rlike(r"\d{3}"),
+        text.rlike(DIGITS),
         lambda digits: let(
             digits & text.rlike(KEYWORDS), lambda keyword: flags(digits, keyword)
         ),
