@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from .base import shared_folder, table
 from .chat import format_chat, learned_text, read_chat
+from .decontaminate import contaminated
+from .lines import remove_repeated_lines
+from .mixing import fit_mixture, rate_table
 from .ngram_join import similar_documents
 from .pii import pseudonymise
 from .quality import P, fit_quality_rules, judge_quality
+from .scoring import score_documents
 from .substrings import remove_repeats
 from .warc import read_warc, write_warc
 
@@ -21,6 +25,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_lines(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return remove_repeated_lines(docs).select(
+        "doc_id", "text", F.col("_lines_removed").alias("n_removed")
+    )
+
+
+def op2_decontaminate(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    found = contaminated(docs, table(spark, root, "benchmark"))
+    return found.select(
+        "doc_id", "item_id", "item_words", "covered", "coverage", F.size("tiles").cast("long").alias("n_tiles")
+    )
+
+
+def op3_mixing(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model, found = fit_mixture(docs, table(spark, root, "labels"))
+    return rate_table(found, model)
+
+
 def op4_chat(spark, root):
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -42,6 +67,10 @@ def op4_chat(spark, root):
     )
 
 
+def op5_scoring(spark, root):
+    return score_documents(table(spark, root, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark, root):
     docs = table(spark, root, "documents").select("doc_id", "text")
     rules = fit_quality_rules(docs, table(spark, root, "labels"))
@@ -87,7 +116,11 @@ def op10_pseudonyms(spark, root):
 
 def registry() -> dict[str, Query]:
     return {
+        "op1_lines": op1_lines,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_mixing": op3_mixing,
         "op4_chat": op4_chat,
+        "op5_scoring": op5_scoring,
         "op6_quality": op6_quality,
         "op7_warc": op7_warc,
         "op8_substrings": op8_substrings,
