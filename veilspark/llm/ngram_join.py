@@ -8,16 +8,19 @@ of them; with more fragments than that, one fragment at least is equal in both.
 1. Every document emits a key for each of its non-empty fragments.  The number of fragments
    depends on a class of sizes; a document emits them for the classes that a smaller partner
    can have.  Documents of equal sets count once, as the one with the smallest id.
-2. Documents that share a key are compared with one of them, the leader of the key (a star,
-   not all pairs).  Overlaps are counted fragment by fragment and summed per pair.
+2. Keys are counted.  Of a document's fragments, the rarest first, only the first
+   s (1 - t) / t + 1 have to be looked at, one of which a partner shares (prefix filter).
+   Fragments that nobody else has come first, so most documents drop out here, and keys of
+   passages that many documents share are rarely needed.  Documents that share a key are
+   compared with one of them, the leader of the key (a star, not all pairs).  Overlaps are
+   counted fragment by fragment and summed per pair.
 3. Links make components.  Keys whose documents are not all in one component are compared
    again, with the most central document as the leader; what is still apart then is compared
    pair by pair, so that no link is lost.  Components follow from all links.
 
-Sets of fewer than ``SMALL`` n-grams may leave too many fragments empty.  They, and what they
-can be linked with, emit their first s - ceil(t s) + 1 n-grams in an order by length and hash
-(the prefix filter), which always meet.  From ``SMALL`` on, ``SPARE`` more fragments than
-needed make a pair without an equal, non-empty one improbable (below 1e-9).
+In sets of fewer than ``SMALL`` n-grams, and what they can be linked with, every n-gram is a
+fragment.  From ``SMALL`` on, ``SPARE`` more fragments than needed make a pair without an
+equal, non-empty one improbable (below 1e-9).
 
 Defined cases: a null text or one without words has an empty set and no link; a text of fewer
 words than ``n`` has its whole sequence as its only n-gram; rows of one id are one document
@@ -35,7 +38,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -49,8 +52,8 @@ BITS = 52  # of a hash; the other 12 number the documents of a slice
 FRAGMENTS = 16  # in which overlaps are counted
 
 
-def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hash and length in bytes of the distinct n-grams, sorted, of up to 4,096 texts."""
+def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the distinct n-grams, sorted, of up to 4,096 texts."""
     words = W.split_words(texts, lower=True)
     h = words.hashes
     grams, inside = W.windows(words, n, h)
@@ -63,10 +66,8 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     few = W.mix(W.span_hashes(h, first, last), 1) + counts[short].astype(np.uint64)
     value = np.concatenate((grams[at], few)) >> np.uint64(64 - BITS)
     doc = np.concatenate((docs, short))
-    length = np.concatenate((words.ends[at + n - 1] - words.starts[at], words.ends[last - 1] - words.starts[first])) if len(words.starts) else np.zeros(0, np.int64)
-    key = (doc.astype(np.uint64) << np.uint64(BITS)) | value
-    key, index = np.unique(key, return_index=True)
-    return (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64(2**BITS - 1), length[index]
+    key = np.unique((doc.astype(np.uint64) << np.uint64(BITS)) | value)
+    return (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64(2**BITS - 1)
 
 
 def size_classes() -> np.ndarray:
@@ -77,50 +78,42 @@ def size_classes() -> np.ndarray:
     return np.array(bounds)
 
 
+SETS = "doc_id long, n long, signature long, own boolean, differing int, keys array<long>"
+
+
 def _keys(batches: Iterator[pa.RecordBatch], n: int, t: Fraction) -> Iterator[pa.RecordBatch]:
+    """A row per document and class of sizes a smaller partner can have, own: its own class."""
     bounds = size_classes()
     for batch, texts in _few(W.slices(batches)):
-        doc, value, length = shingles(texts, n)
+        doc, value = shingles(texts, n)
         size = np.bincount(doc, minlength=len(texts))
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         signature = W.mix(W.span_hashes(W.mix(value), first[:-1], first[1:])) + size.astype(np.uint64)
-        # the smallest partner of a document of this size
-        least = -(-size * t.numerator // t.denominator)
-        found_doc, found_key = [], []
+        least = -(-size * t.numerator // t.denominator)  # the smallest partner
         low, high = np.searchsorted(bounds, least), np.searchsorted(bounds, size)
         for c in np.unique(np.concatenate((low, high))):
-            takes = (low <= c) & (high >= c) & (size > 0)
-            rows = takes[doc]
+            docs = np.flatnonzero((low <= c) & (high >= c))
+            # n-grams that the smaller of two similar sets can differ in, of all their n-grams
+            differing = (np.minimum(size[docs], bounds[c]) * (1 - t).numerator // t.numerator).astype(np.int32)
+            rows = ((low <= c) & (high >= c))[doc]
             d, v = doc[rows], value[rows]
-            if not len(d):
-                continue
             if c == 0:
-                rank = (np.uint64(255) - np.minimum(length[rows], 255).astype(np.uint64)) << np.uint64(44) | v >> np.uint64(8)
-                order = np.lexsort((rank, d))
-                place = np.arange(len(d)) - np.searchsorted(d, d)
-                chosen = place < (size - least + 1)[d]
-                found_doc.append(d[chosen])
-                found_key.append(W.mix(v[order][chosen], 1))
-                continue
-            differing = int(bounds[c] * (1 - t) / t)
-            fragments = differing + 1 + SPARE
-            cut = (v >> np.uint64(20)) * np.uint64(fragments) >> np.uint64(BITS - 20)
-            breaks = np.ones(len(d), bool)
-            breaks[1:] = (d[1:] != d[:-1]) | (cut[1:] != cut[:-1])
-            heads = np.flatnonzero(breaks)
-            ends = np.append(heads[1:], len(d))
-            h = W.span_hashes(W.mix(v), heads, ends) + W.mix(cut[heads], int(c) + 2)
-            found_doc.append(d[heads])
-            found_key.append(W.mix(h))
-        found_doc = np.concatenate(found_doc) if found_doc else np.zeros(0, np.int64)
-        found_key = np.concatenate(found_key) if found_key else np.zeros(0, np.uint64)
-        order = np.argsort(found_doc, kind="stable")
-        offsets = np.searchsorted(found_doc[order], np.arange(len(texts) + 1)).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(offsets), W.signed(found_key[order]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), W.signed(signature), keys],
-            names=["doc_id", "n", "signature", "keys"],
-        )
+                keys, of = W.mix(v, 1), d
+            else:
+                fragments = int(bounds[c] * (1 - t) / t) + 1 + SPARE
+                cut = (v >> np.uint64(20)) * np.uint64(fragments) >> np.uint64(BITS - 20)
+                breaks = np.ones(len(d), bool)
+                breaks[1:] = (d[1:] != d[:-1]) | (cut[1:] != cut[:-1])
+                heads = np.flatnonzero(breaks)
+                ends = np.append(heads[1:], len(d))
+                keys, of = W.mix(W.span_hashes(W.mix(v), heads, ends) + W.mix(cut[heads], int(c) + 2)), d[heads]
+            offsets = np.append(np.searchsorted(of, docs), len(of)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(docs)), pa.array(size[docs], pa.int64()), W.signed(signature[docs]),
+                 pa.array(high[docs] == c), pa.array(differing),
+                 pa.ListArray.from_arrays(pa.array(offsets), W.signed(keys))],
+                names=["doc_id", "n", "signature", "own", "differing", "keys"],
+            )
 
 
 def _few(parts, most: int = 4096):
@@ -132,10 +125,10 @@ def _few(parts, most: int = 4096):
 
 def _compare(batches: Iterator[pa.RecordBatch], n: int, t: Fraction) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) whose texts have a similarity of t or more."""
-    for batch, left in _few(W.slices(batches, "text_a", W.SLICE_BYTES // 2)):
+    for batch, left in _few(W.slices(batches, "text_a", W.SLICE_BYTES, beside="text_b")):
         right = batch.column("text_b").cast(pa.large_string()).fill_null("")
-        doc_a, a, _ = shingles(left, n)
-        doc_b, b, _ = shingles(right, n)
+        doc_a, a = shingles(left, n)
+        doc_b, b = shingles(right, n)
         pair = np.concatenate((doc_a, doc_b)).astype(np.uint64)
         both = np.sort((pair << np.uint64(BITS)) | np.concatenate((a, b)))
         common = both[1:][both[1:] == both[:-1]]
@@ -169,27 +162,42 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
     """
     t = Fraction(similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = staged(
-        rows.mapInArrow(
-            lambda batches: _keys(batches, n, t), "doc_id long, n long, signature long, keys array<long>"
-        ),
-        "ngram-sets",
-    )
+    written = staged(rows.mapInArrow(lambda batches: _keys(batches, n, t), SETS), "ngram-sets")
+    sets = written.where("own").select("doc_id", "n", "signature")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
     same = full.groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    copies = (
-        full.select("doc_id", "signature", "n")
-        .join(same.where("rep < last").drop("last"), ["signature", "n"])
-        .where("doc_id > rep").select("doc_id", "rep")
+    copies = staged(
+        full.join(same.where("rep < last").drop("last"), ["signature", "n"])
+        .where("doc_id > rep").select("doc_id", "rep").distinct(),
+        "ngram-copies",
+    )
+    single = written.where("n > 0").join(copies.select("doc_id"), "doc_id", "left_anti")
+    keyed = single.select(
+        "doc_id", "differing", F.size("keys").alias("fragments"), F.explode("keys").alias("key")
+    )
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # of similar documents at most `differing` fragments are not shared: of each one's fragments,
+    # the rarest first, one of the first differing + 1 is; most documents have more rare ones
+    per_class = Window.partitionBy("doc_id", "differing", "fragments")
+    met = keyed.join(often, "key").select(
+        "key", "doc_id",
+        F.row_number().over(per_class.orderBy("often", "key")).alias("place"),
+        (F.col("fragments") - F.count(F.lit(1)).over(per_class)).alias("alone"),
+        "differing",
     )
-    single = full.join(copies.select("doc_id"), "doc_id", "left_anti")
-    keyed = single.select("doc_id", F.explode("keys").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = staged(keyed.join(groups.where("low < high"), "key").select("key", "doc_id", "low"), "ngram-keys")
+    shared = staged(met.where("place + alone <= differing + 1").select("key", "doc_id"), "ngram-keys")
+    groups = shared.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = staged(shared.join(groups.where("low < high"), "key").select("key", "doc_id", "low"), "ngram-keys")
+    sizes = full.select("doc_id", "n").distinct()
     texts = staged(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "ngram-texts")
 
     def pairs(found: DataFrame, x: str, y: str) -> DataFrame:
-        return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+        """Distinct pairs whose sizes allow the similarity."""
+        named = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+        for side in ("a", "b"):
+            named = named.join(sizes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}")), side)
+        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        return named.where(low * t.denominator >= high * t.numerator).select("a", "b")
 
     links = staged(_verify(pairs(shared, "doc_id", "low"), texts, n, t), "ngram-links")
     all_links = [links]
@@ -204,8 +212,8 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
             break
         if turn == 0:
             # the document that shares the most with others leads its keys
-            sizes = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            weight = open_rows.join(sizes, "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
+            members = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            weight = open_rows.join(members, "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
             leader = open_rows.join(weight, "doc_id").groupBy("key").agg(
                 F.max_by(F.struct("doc_id", "component"), F.struct("weight", "doc_id")).alias("lead")
             )

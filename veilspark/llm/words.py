@@ -112,15 +112,22 @@ def windows(words: Words, k: int, hashes: np.ndarray | None = None) -> tuple[np.
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, beside: str | None = None
 ) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows whose texts hold about ``limit`` bytes, with the texts, null as empty."""
+    """Runs of rows whose texts hold about ``limit`` bytes, with the texts, null as empty.
+
+    ``beside`` names a second column of texts whose bytes count as well.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        if beside is not None:
+            other = pc.binary_length(batch.column(batch.schema.get_field_index(beside))).fill_null(0)
+            sizes = sizes + other.to_numpy(zero_copy_only=False)
+        sizes = np.cumsum(sizes)
         low = 0
         while low < batch.num_rows:
             base = sizes[low - 1] if low else 0
