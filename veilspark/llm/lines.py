@@ -137,10 +137,8 @@ def word_distance(a: list[str], b: list[str], most: int) -> int:
     if abs(len(a) - len(b)) > most:
         return most + 1
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
         low, high = max(1, i - most), min(len(b), i + most)
-        if low > 1:
-            row[low - 1] = most + 1
+        last, row[low - 1] = row[low - 1], i if low == 1 else most + 1
         for j in range(low, high + 1):
             last, row[j] = row[j], min(last + (x != b[j - 1]), row[j] + 1 if j < i + most else most + 1, row[j - 1] + 1)
         if min(row[low - 1 : high + 1]) > most:
