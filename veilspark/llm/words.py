@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE_BYTES = 2 << 20
+STRETCH_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15  # odd
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -67,8 +68,15 @@ class Words:
 
     @property
     def hashes(self) -> np.ndarray:
-        values = self.data.astype(np.uint64) + np.uint64(1)
-        return mix(span_hashes(values, self.starts, self.ends))
+        out = np.empty(len(self.starts), np.uint64)
+        low = 0
+        while low < len(out):  # stretches of a bounded size, or one word
+            base = self.starts[low]
+            high = max(low + 1, int(np.searchsorted(self.ends, base + STRETCH_BYTES, "right")))
+            values = self.data[base : self.ends[high - 1]].astype(np.uint64) + np.uint64(1)
+            out[low:high] = span_hashes(values, self.starts[low:high] - base, self.ends[low:high] - base)
+            low = high
+        return mix(out)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
