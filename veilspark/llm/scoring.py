@@ -41,7 +41,7 @@ from .base import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 HEADS = TAILS = 64
 CLASSES = HEADS + TAILS
 BEFORE = CLASSES + 1  # and the start of a text
