@@ -4,11 +4,12 @@ import hashlib
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from veilspark.llm import queries
 from veilspark.llm.components import components
-from veilspark.llm.ngram_join import similar_documents
+from veilspark.llm.ngram_join import parity, similar_documents
 from veilspark.llm.substrings import remove_repeats, repeated_spans
 
 DATA = "/root/testdata/sf0.01"
@@ -133,3 +134,13 @@ def test_components(spark):
     df = spark.createDataFrame(chain, "a long, b long")
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(5)
+    for size, most in ((10, 1), (200, 20), (3000, 300)):
+        a = rng.integers(0, 2**52, size).astype(np.uint64)
+        b = np.concatenate((a[most:], rng.integers(0, 2**52, most).astype(np.uint64)))
+        row = np.repeat([0, 1], size)
+        x, y = parity(row, np.concatenate((a, b)), 2, most).reshape(2, -1)
+        assert 0 < sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))

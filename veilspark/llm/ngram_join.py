@@ -18,6 +18,11 @@ of them; with more fragments than that, one fragment at least is equal in both.
    again, with the most central document as the leader; what is still apart then is compared
    pair by pair, so that no link is lost.  Components follow from all links.
 
+Every set has a parity sketch: a bit for each remainder of the hashes, flipped by each n-gram.
+Two sets differ in at least as many n-grams as their sketches do in bits, so pairs whose
+sketches differ in more than (a + b) (1 - t) / (1 + t) bits cannot be linked.  They are left
+out before texts are fetched, and where documents are compared pair by pair, inside the join.
+
 In sets of fewer than ``SMALL`` n-grams, and what they can be linked with, every n-gram is a
 fragment.  From ``SMALL`` on, ``SPARE`` more fragments than needed make a pair without an
 equal, non-empty one improbable (below 1e-9).
@@ -38,7 +43,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -48,6 +53,7 @@ from .components import components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SMALL, SPARE, CLASS_RATIO = 64, 8, 1.5
+PARITY = 8  # bits of a sketch for each n-gram that two similar sets can differ in
 BITS = 52  # of a hash; the other 12 number the documents of a slice
 FRAGMENTS = 16  # in which overlaps are counted
 
@@ -78,7 +84,17 @@ def size_classes() -> np.ndarray:
     return np.array(bounds)
 
 
-SETS = "doc_id long, n long, signature long, own boolean, differing int, keys array<long>"
+SETS = (
+    "doc_id long, n long, signature long, own boolean, class int, differing int, "
+    "keys array<long>, parity array<long>"
+)
+
+
+def parity(row: np.ndarray, value: np.ndarray, rows: int, most: int) -> np.ndarray:
+    """A sketch per row of sets that, if similar, differ in at most ``most`` values."""
+    bits = 64 * (PARITY * most // 64 + 1)
+    flips = np.bincount(row * bits + (value % np.uint64(bits)).astype(np.int64), minlength=rows * bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch], n: int, t: Fraction) -> Iterator[pa.RecordBatch]:
@@ -108,11 +124,14 @@ def _keys(batches: Iterator[pa.RecordBatch], n: int, t: Fraction) -> Iterator[pa
                 ends = np.append(heads[1:], len(d))
                 keys, of = W.mix(W.span_hashes(W.mix(v), heads, ends) + W.mix(cut[heads], int(c) + 2)), d[heads]
             offsets = np.append(np.searchsorted(of, docs), len(of)).astype(np.int32)
+            sketch = parity(np.searchsorted(docs, d), v, len(docs), int(bounds[c] * (1 - t) / t))
+            cuts = np.linspace(0, len(sketch), len(docs) + 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(docs)), pa.array(size[docs], pa.int64()), W.signed(signature[docs]),
-                 pa.array(high[docs] == c), pa.array(differing),
-                 pa.ListArray.from_arrays(pa.array(offsets), W.signed(keys))],
-                names=["doc_id", "n", "signature", "own", "differing", "keys"],
+                 pa.array(high[docs] == c), pa.array(np.full(len(docs), c, np.int32)), pa.array(differing),
+                 pa.ListArray.from_arrays(pa.array(offsets), W.signed(keys)),
+                 pa.ListArray.from_arrays(pa.array(cuts), W.signed(sketch))],
+                names=["doc_id", "n", "signature", "own", "class", "differing", "keys", "parity"],
             )
 
 
@@ -173,38 +192,49 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
     )
     single = written.where("n > 0").join(copies.select("doc_id"), "doc_id", "left_anti")
     keyed = single.select(
-        "doc_id", "differing", F.size("keys").alias("fragments"), F.explode("keys").alias("key")
+        "doc_id", "class", "differing", F.size("keys").alias("fragments"), F.explode("keys").alias("key")
     )
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # of similar documents at most `differing` fragments are not shared: of each one's fragments,
     # the rarest first, one of the first differing + 1 is; most documents have more rare ones
     per_class = Window.partitionBy("doc_id", "differing", "fragments")
     met = keyed.join(often, "key").select(
-        "key", "doc_id",
+        "key", "doc_id", "class",
         F.row_number().over(per_class.orderBy("often", "key")).alias("place"),
         (F.col("fragments") - F.count(F.lit(1)).over(per_class)).alias("alone"),
         "differing",
     )
-    shared = staged(met.where("place + alone <= differing + 1").select("key", "doc_id"), "ngram-keys")
+    shared = staged(met.where("place + alone <= differing + 1").select("key", "doc_id", "class"), "ngram-keys")
     groups = shared.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = staged(shared.join(groups.where("low < high"), "key").select("key", "doc_id", "low"), "ngram-keys")
-    sizes = full.select("doc_id", "n").distinct()
+    shared = staged(shared.join(groups.where("low < high"), "key").select("key", "doc_id", "class", "low"), "ngram-keys")
+    sketches = written.where("n > 0").select("doc_id", "class", F.struct("n", "parity").alias("sketch"))
     texts = staged(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "ngram-texts")
 
+    def alike(x: str, y: str) -> Column:
+        """Whether two sketches allow the similarity."""
+        bits = F.zip_with(f"{x}.parity", f"{y}.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        differ = F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+        return differ * (t.denominator + t.numerator) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (
+            t.denominator - t.numerator
+        )
+
     def pairs(found: DataFrame, x: str, y: str) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
-        named = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+        """Distinct pairs whose sketches allow the similarity."""
+        named = found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "class").where("a < b")
+        named = named.groupBy("a", "b").agg(F.min("class").alias("class"))
         for side in ("a", "b"):
-            named = named.join(sizes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}")), side)
-        low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        return named.where(low * t.denominator >= high * t.numerator).select("a", "b")
+            named = named.join(
+                sketches.select(F.col("doc_id").alias(side), "class", F.col("sketch").alias(f"sketch_{side}")),
+                [side, "class"],
+            )
+        return named.where(alike("sketch_a", "sketch_b")).select("a", "b").distinct()
 
     links = staged(_verify(pairs(shared, "doc_id", "low"), texts, n, t), "ngram-links")
     all_links = [links]
     for turn in range(2):
         label = components(reduce(DataFrame.unionByName, all_links))
         named = shared.join(label, F.col("doc_id") == F.col("node"), "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+            "key", "doc_id", "class", F.coalesce("component", "doc_id").alias("component")
         )
         apart = named.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
         open_rows = staged(named.join(apart.where("c < d").select("key"), "key"), "ngram-open")
@@ -217,11 +247,21 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
             leader = open_rows.join(weight, "doc_id").groupBy("key").agg(
                 F.max_by(F.struct("doc_id", "component"), F.struct("weight", "doc_id")).alias("lead")
             )
-            found = open_rows.join(leader, "key").where("component <> lead.component").select("doc_id", F.col("lead.doc_id").alias("other"))
+            found = open_rows.join(leader, "key").where("component <> lead.component").select(
+                "doc_id", F.col("lead.doc_id").alias("other"), "class"
+            )
+            near = pairs(found, "doc_id", "other")
         else:
-            other = open_rows.select("key", F.col("doc_id").alias("other"), F.col("component").alias("theirs"))
-            found = open_rows.join(other, "key").where("component < theirs")
-        all_links.append(staged(_verify(pairs(found, "doc_id", "other"), texts, n, t), "ngram-links"))
+            known = staged(open_rows.join(sketches, ["doc_id", "class"]), "ngram-open")
+            other = known.select(
+                F.col("key").alias("same"), F.col("doc_id").alias("other"),
+                F.col("component").alias("theirs"), F.col("sketch").alias("sketch_other"),
+            )
+            meet = (F.col("key") == F.col("same")) & (F.col("component") < F.col("theirs"))
+            near = known.join(other, meet & alike("sketch", "sketch_other")).select(
+                F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")
+            ).distinct()
+        all_links.append(staged(_verify(near, texts, n, t), "ngram-links"))
     links = reduce(DataFrame.unionByName, all_links)
     label = components(links)
     rep = sets.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
