@@ -46,5 +46,16 @@ def test_query(spark, database, name):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == expected
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark):
+    """Masking moves no text; the tagger of a stored entity runs once."""
+    found = registry()
+    assert "Exchange" not in plan(found["mask_spans_documents"](spark, DATA))
+    assert plan(found["without_overlaps_letters"](spark, DATA)).count("ArrowEvalPython") == 1
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0

@@ -100,17 +100,20 @@ def test_settings_updates(spark):
     assert got == {"a": (False, "hybrid", True), "b": (False, "regex", True), "c": (False, None, True)}
 
 
-def test_lookup_joins_agree_whatever_the_size(spark):
-    """One key holds a third of all rows; both join strategies give the same whole result."""
+def test_lookup_joins_agree_with_and_without_salts(spark):
+    """One key holds a third of all rows; it is dealt over partitions and the result is whole."""
     rows = spark.range(3000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("scope")
     )
     side = spark.range(2000).select(F.col("id").cast("string").alias("scope"), F.lit(1).alias("x"))
     side = side.unionByName(spark.createDataFrame([("hot", 2)], "scope string, x int"))
     small = joins.join_lookup(rows, side, ["scope"], "left")
-    large = joins.join_lookup(rows, side, ["scope"], "left", max_rows=100)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    large = joins.join_lookup(rows.withColumn("m", F.create_map("scope", "id")), side, ["scope"], "left", joins.SALTS)
+    assert large.columns == ["scope", "id", "m", "x"]
+    semi = joins.join_lookup(rows, side.select("scope").distinct(), ["scope"], "left_semi", joins.SALTS)
+    assert sorted(r["id"] for r in semi.collect()) == [
+        r["id"] for r in small.where("x IS NOT NULL").orderBy("id").collect()
+    ]
     assert sorted(map(tuple, small.select("id", "x").collect()), key=str) == sorted(
         map(tuple, large.select("id", "x").collect()), key=str
     )
@@ -177,13 +180,14 @@ def test_mapping_store(spark, tmp_path):
     assert stored() == before
 
 
-def test_read_spread_and_write(spark, tmp_path):
+def test_read_partitions_and_write(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame([(i, "x", f"mail u{i}@b.org") for i in range(20)], "k int, other string, text string").coalesce(
         1
     ).write.parquet(path)
-    df = v.read_messages(spark, path, keys=("k",))
-    assert df.columns == ["k", "text"] and df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert v.read_messages(spark, path, keys=("k",)).rdd.getNumPartitions() == 1
+    df = v.read_messages(spark, path, keys=("k",), partitions=3)
+    assert df.columns == ["k", "text"] and df.rdd.getNumPartitions() == 3
     assert "other" not in df._jdf.queryExecution().executedPlan().toString()
     out = str(tmp_path / "out")
     v.write_masked(v.mask_messages(df), out, partition_by=())
@@ -200,7 +204,7 @@ def test_read_spread_and_write(spark, tmp_path):
 def test_streams_equal_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "k int, scope string, text string"
-    df = spark.createDataFrame(MESSAGES + [(5, "t", "  ")], schema)
+    df = spark.createDataFrame(MESSAGES + [(5, "t", "  "), (6, "t", ""), (7, None, None)], schema)
     df.repartition(3).write.parquet(source)
 
     def stream():
@@ -211,10 +215,11 @@ def test_streams_equal_batches(spark, tmp_path):
         v.write_stream(frame, out, name).awaitTermination()
         return {tuple(r) for r in spark.read.parquet(out).collect()}
 
-    expected = {tuple(r) for r in v.mask_messages(v.nonblank(df)).select("k", "masked").collect()}
+    expected = {tuple(r) for r in v.mask_messages(df).select("k", "masked").collect()}
+    assert {(5, "  "), (6, ""), (7, None)} <= expected
     assert run(v.mask_stream(stream()).select("k", "masked"), "spans") == expected
     cascade = run(v.mask_stream(stream(), cascade=True).select("k", "masked"), "cascade")
-    assert len(cascade) == 4 and (2, "ask [REDACTED_NAME]") in cascade
+    assert len(cascade) == df.count() and {(5, "  "), (6, ""), (7, None)} <= cascade and (2, "ask [REDACTED_NAME]") in cascade
     assert {k for k, *_ in run(v.alert_stream(stream()), "alerts")} == {1, 2, 3}
 
     store = str(tmp_path / "store")

@@ -18,7 +18,7 @@ from .operators.sites import SITES, site_filter
 from .operators.tagging import tag_errors, tag_tokens, token_tagger, with_entities
 from .session import build_session, checkpoint_root
 from .sources.mapping_store import compact_mappings, load_mappings, save_mappings
-from .sources.messages import read_message_stream, read_messages, spread, write_masked
+from .sources.messages import read_message_stream, read_messages, write_masked
 from .streaming.streams import alert_stream, flush_mappings, mask_stream, write_stream
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -21,9 +21,10 @@ def preview(
     enabled: str | None = None,
     use_ml: str | None = None,
 ) -> DataFrame:
-    """Add the preview of every visible text.
+    """Add the preview of every visible text; blank texts have none.
 
-    ``n_detected`` counts raw detections, before overlaps are resolved.
+    ``n_detected`` counts raw detections, before overlaps are resolved.  A text for which
+    ``enabled`` is false gets a preview in which nothing was found.
     """
     masked = mask_messages(nonblank(df, text), text, load, enabled, use_ml)
     n = F.col("n_detected")
@@ -90,9 +91,10 @@ def send_decided(
     """``resolve_decisions`` straight from the messages, where no preview is to be kept.
 
     The decisions are joined first, so that only texts sent as ``protected`` are scanned,
-    and a join that must shuffle moves the texts alone.
+    and a join that must shuffle moves the texts alone.  A decided message without visible
+    text is sent as it is.
     """
-    joined = join_lookup(nonblank(df, text), _sending(decisions, keys), keys, "inner")
+    joined = join_lookup(df, _sending(decisions, keys), keys, "inner")
     flagged = joined.withColumn("_protect", F.col("choice") == "protected")
     sent = mask_messages(flagged, text, load, enabled="_protect", out=out)
     return sent.drop("_protect", "detections")

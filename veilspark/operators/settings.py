@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field_text
-from .joins import join_lookup
+from .joins import SALTS, join_lookup
 
 # The settings of a scope that has none.
 DEFAULTS = {"enabled": True, "maskingMode": "regex", "useML": True}
@@ -38,7 +38,7 @@ def apply_settings(df: DataFrame, settings: DataFrame, scope: str = "scope") ->
     ``settings`` has one row per scope.
     """
     side = settings.select(F.col("scope").alias(scope), *DEFAULTS)
-    joined = join_lookup(df, side, [scope], "left")
+    joined = join_lookup(df, side, [scope], "left", SALTS)
     mode = field_text(F.col("maskingMode"), F.lit(DEFAULTS["maskingMode"]))
     return joined.withColumns({
         "enabled": F.coalesce("enabled", F.lit(DEFAULTS["enabled"])),

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_lookup
+from .joins import SALTS, join_lookup
 
 # Fixed values: (scheme, host) of the covered sites.
 SITES = (
@@ -44,7 +44,7 @@ def site_filter(
     """
     if isinstance(sites, DataFrame):
         keyed = df.withColumns({"scheme": url_scheme(F.col(url)), "host": url_host(F.col(url))})
-        return join_lookup(keyed, sites.distinct(), ["scheme", "host"], "left_semi").select(
+        return join_lookup(keyed, sites.distinct(), ["scheme", "host"], "left_semi", SALTS).select(
             *df.columns
         )
     wanted = [f"{scheme}://{host}".lower() for scheme, host in sites]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.messages import read_messages, spread
+from ..sources.messages import read_messages
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -61,7 +61,7 @@ def messages(spark: SparkSession, root: str) -> DataFrame:
     rows = customers.select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("scope")
     )
-    return spread(rows).withColumn("text", message_text(F.col("k")))
+    return rows.withColumn("text", message_text(F.col("k")))
 
 
 def letters(spark: SparkSession, root: str) -> DataFrame:

@@ -2,27 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkAttributeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_SPLIT_BYTES = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan too small to be split over all cores; leave any other as it is.
-
-    A file with one row group is read by one task however many cores there are.  Below
-    one split per core the shuffle is small; above it the scan is parallel enough, and
-    moving the texts would cost more than it brings.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cores = df.sparkSession.sparkContext.defaultParallelism
-    except (AttributeError, PySparkAttributeError):  # a remote session shows neither
-        return df
-    return df.repartition(cores) if size < cores * _SPLIT_BYTES else df
-
 
 def read_messages(
     spark: SparkSession,
@@ -31,13 +13,19 @@ def read_messages(
     keys: tuple[str, ...] = (),
     fmt: str = "parquet",
     schema: T.StructType | str | None = None,
+    partitions: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """The key columns and the text of a table of messages; nothing else is read."""
+    """The key columns and the text of a table of messages; nothing else is read.
+
+    ``partitions`` shuffles the texts into that many parts, for a few files of one row group
+    each, which no more tasks than files can read.  Without it texts stay where they are read.
+    """
     reader = spark.read.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    return spread(reader.load(path).select(*keys, text))
+    rows = reader.load(path).select(*keys, text)
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def read_message_stream(

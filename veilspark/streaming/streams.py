@@ -23,11 +23,10 @@ def mask_stream(
     load: Callable[[], Tagger] | None = None,
     cascade: bool = False,
 ) -> DataFrame:
-    """Visible messages of a stream with their masked text; stateless."""
-    shown = nonblank(messages, text)
+    """All messages of a stream with their masked text, blank ones as they are; stateless."""
     if cascade:
-        return mask_columns(shown.withColumn("masked", shown[text]), ["masked"])
-    return mask_messages(shown, text, load)
+        return mask_columns(messages.withColumn("masked", messages[text]), ["masked"])
+    return mask_messages(messages, text, load)
 
 
 def alert_stream(messages: DataFrame, text: str = "text") -> DataFrame:
