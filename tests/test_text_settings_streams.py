@@ -1,6 +1,7 @@
 """Text helpers, sites, settings, previews, mapping stores, sources and streams."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,11 +174,22 @@ def test_mapping_store(spark, tmp_path):
     for batch in range(8, 12):
         write_batch(spark.createDataFrame([("s", "m", f"v{batch}"), ("t", f"m{batch}", "x")], schema), path, batch)
     assert ("s", "m", "v11") in stored() and len(stored()) == 5
-    os.remove(f"{path}/batch=11/_SUCCESS")  # a write that did not complete does not count
+    last = max(name for name in os.listdir(path) if name.startswith("batch="))
+    os.remove(f"{path}/{last}/_SUCCESS")  # a write that did not complete does not count
     assert ("s", "m", "v10") in stored() and len(stored()) == 4
     before = stored()
     v.compact_mappings(spark, path)
-    assert stored() == before
+    assert stored() == before and len(os.listdir(path)) == 1
+    # a run that goes on, and a new one that counts from 0, are later and replace nothing
+    write_batch(spark.createDataFrame([("s", "m", "v12")], schema), path, 0)
+    assert ("s", "m", "v12") in stored() and len(stored()) == len(before)
+    write_batch(spark.createDataFrame([("s", "m", "new")], schema), path, 0, run="other")
+    assert ("s", "m", "new") in stored() and len(stored()) == len(before)
+    # a rewrite counts although the older folders could not be deleted any more
+    shutil.copytree(path, f"{path}-old")
+    v.save_mappings(spark.createDataFrame([("s", "m", "only")], schema), path)
+    shutil.copytree(f"{path}-old", path, dirs_exist_ok=True)
+    assert [tuple(r) for r in v.load_mappings(spark, path).collect()] == [("s", "m", "only")]
 
 
 def test_read_partitions_and_write(spark, tmp_path):
@@ -223,7 +235,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {k for k, *_ in run(v.alert_stream(stream()), "alerts")} == {1, 2, 3}
 
     store = str(tmp_path / "store")
-    query = v.flush_mappings(stream(), store, "scope", F.col("k"), "flush", interval=None)
+    query = v.flush_mappings(stream(), store, "scope", F.col("k"), "flush", interval=None, compact_every=2)
     query.awaitTermination()
     batch = v.latest_mappings(v.span_mapping_rows(v.detect_pii(df), "scope", F.col("k")))
     assert {tuple(r) for r in v.load_mappings(spark, store).collect()} == {tuple(r) for r in batch.collect()}
