@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,30 +21,13 @@ _HIDDEN = r"(?is)<{0}(?:\s[^>]*+)?+>.*?(?:</{0}\s*+>|\z)"
 _QUOTED = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))"""
 _TAG = r"<(?:/?[A-Za-z]|[!?])(?:[^>=]++|=\s*+" + _QUOTED + r"?+)*+(?:>|\z)"
 
-# Named character references decoded by text_content.
-REFERENCES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": "\u00a0",
-    "copy": "©",
-    "reg": "®",
-    "middot": "·",
-    "laquo": "«",
-    "raquo": "»",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "bull": "•",
-    "hellip": "…",
-    "euro": "€",
-    "trade": "™",
-}
+# The references of HTML, by name; some may be written without their semicolon.
+_NAMED = json.dumps(html5)
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_OPEN_NAME = f"^(?:{'|'.join(_OPEN_NAMES)})"
+_NUMBER = "^#(?:[xX][0-9A-Fa-f]++|[0-9]++);?"
+# Numbers 128 to 159 name the characters that windows-1252 has there.
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
 def js_trim(text: Column) -> Column:
@@ -72,29 +56,45 @@ def _code_point(number: Column) -> Column:
     """The character of a code point given as int; U+FFFD where there is none."""
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     raw = F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0"))
-    return F.decode(raw, "UTF-32")
+    windows = F.substring(F.lit(_WINDOWS), number - 127, F.lit(1))
+    return F.when(number.between(128, 159), windows).otherwise(F.decode(raw, "UTF-32"))
 
 
 def _decode_references(text: Column) -> Column:
     """Decode named, decimal and hexadecimal references in one pass over the ampersands."""
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(REFERENCES.items())])
-
-    def char_of(name: Column) -> Column:
-        short = F.length(name) <= 9
-        dec = F.when(short & name.rlike("^#[0-9]+$"), F.substring(name, 2, 8)).cast("int")
-        hexa = F.when(short & name.rlike("^#[xX][0-9A-Fa-f]+$"), F.substring(name, 3, 7))
-        number = F.coalesce(dec, F.conv(hexa, 16, 10).cast("int"))
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def number_of(written: Column) -> Column:
+        is_hex = F.lower(F.substring(written, 2, 1)) == "x"
+        digits = F.regexp_extract(written, "^#[xX]?0*+([0-9A-Fa-f]*)", 1)
+        number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        return F.when(digits == "", 0).when(F.length(digits) > 8, -1).otherwise(
+            F.least(number, F.lit(0x110000))
+        ).cast("int")
+
+    def decoded(part: Column, written: Column, char: Column) -> Column:
+        return F.concat(char, F.substring(part, F.length(written) + 1, F.length(part)))
+
+    def by_name(part: Column) -> Column:
+        closed = F.regexp_extract(part, "^[A-Za-z][A-Za-z0-9]*+;", 0)
+        opened = F.regexp_extract(part, _OPEN_NAME, 0)
         return F.coalesce(
-            F.try_element_at(table, name), let(number, lambda n: F.when(n >= 0, _code_point(n)))
+            let(closed, lambda name: decoded(part, name, F.try_element_at(named, name))),
+            let(opened, lambda name: decoded(part, name, F.try_element_at(named, name))),
+        )
+
+    def by_number(part: Column) -> Column:
+        written = F.nullif(F.regexp_extract(part, _NUMBER, 0), F.lit(""))
+        return let(
+            written, lambda w: decoded(part, w, let(number_of(w), _code_point))
         )
 
     def piece(part: Column, i: Column) -> Column:
-        name = F.substring_index(part, ";", 1)
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
-        known = F.when((i > 0) & part.contains(";"), char_of(name))
-        return F.coalesce(
-            F.concat(known, rest), F.when(i > 0, F.concat(F.lit("&"), part)).otherwise(part)
+        known = F.when(part.startswith("#"), by_number(part)).when(
+            part.rlike("^[A-Za-z]"), by_name(part)
         )
+        plain = F.when(i > 0, F.concat(F.lit("&"), part)).otherwise(part)
+        return F.coalesce(F.when(i > 0, known), plain)
 
     joined = F.array_join(F.transform(F.split(text, "&"), piece), "")
     return F.when(text.contains("&"), joined).otherwise(text)
@@ -103,7 +103,8 @@ def _decode_references(text: Column) -> Column:
 def text_content(html: Column) -> Column:
     """Visible string of an HTML page: no comments, scripts, styles or tags.
 
-    References must end with a semicolon; names other than ``REFERENCES`` stay as written.
+    References are decoded as a browser does in text: every name of HTML, the longest that
+    fits, those that may be without a semicolon also so; numbers with or without one.
     """
     text = F.regexp_replace(html, _COMMENT, "")
     for element in ("script", "style"):

@@ -41,10 +41,12 @@ def detect_pii(
     enabled: str | None = None,
     use_ml: str | None = None,
     out: str = "detections",
+    errors: str = "ml_errors",
 ) -> DataFrame:
     """Add the detections of ``text``.
 
-    With ``load``, a tagger is run as well.  ``enabled`` and ``use_ml`` name boolean columns
+    With ``load``, a tagger is run as well, and ``errors`` is the number of chunks of the text
+    on which it failed; for those the patterns alone count.  ``enabled`` and ``use_ml`` name boolean columns
     that switch detection and the tagger off per row.
     """
     flag = F.col(enabled) if enabled else None
@@ -56,7 +58,7 @@ def detect_pii(
             wanted = wanted & F.coalesce(F.col(name), F.lit(True))
     # rows that do not want the tagger show it no text, so they cost no inference
     shown = df.withColumn("_shown", F.when(wanted, F.col(text)))
-    tagged = with_entities(shown, "_shown", load, "_entities")
+    tagged = with_entities(shown, "_shown", load, "_entities", errors)
     entities = F.when(F.col("_shown").isNotNull(), F.col("_entities"))
     return tagged.withColumn(out, detections(F.col(text), entities, flag)).drop(
         "_shown", "_entities"

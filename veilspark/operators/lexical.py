@@ -49,3 +49,14 @@ def tag_words(chunks: Sequence[str]) -> list[list[dict]]:
 
 def load_lexical():
     return tag_words
+
+
+def load_failing():
+    """The same tagger, failing on every chunk with a ``q``; shows how errors are reported."""
+
+    def tag(chunks: Sequence[str]) -> list[list[dict]]:
+        if any("q" in chunk for chunk in chunks):
+            raise ValueError("a q")
+        return tag_words(chunks)
+
+    return tag

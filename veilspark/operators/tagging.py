@@ -102,12 +102,22 @@ def tag_tokens(
 
 
 def with_entities(
-    df: DataFrame, text: str, load: Callable[[], Tagger], out: str = "entities"
+    df: DataFrame,
+    text: str,
+    load: Callable[[], Tagger],
+    out: str = "entities",
+    errors: str = "ml_errors",
 ) -> DataFrame:
-    """Add the entities found in ``text`` (``array<ML_DETECTION>``) by the tagger."""
+    """Add the entities found in ``text`` (``array<ML_DETECTION>``) by the tagger.
+
+    ``errors`` is the number of chunks of the text on which the tagger failed.
+    """
     tagged = tag_tokens(df, text, load, "_chunks", "_tagged")
     found = detect_ml(F.col(text), F.col("_chunks"), F.col("_tagged"))
-    return tagged.withColumn(out, found).drop("_chunks", "_tagged")
+    failed = F.size(F.filter("_tagged", lambda answer: answer["error"].isNotNull()))
+    return tagged.withColumns({out: found, errors: F.greatest(failed, F.lit(0))}).drop(
+        "_chunks", "_tagged"
+    )
 
 
 def tag_errors(tagged_df: DataFrame, *keys: str, tagged: str = "tagged") -> DataFrame:

@@ -5,9 +5,10 @@ Patterns run in RE2 form.  Sequential rules are recursive queries.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..functions.labels import CONFIDENCE, DEFAULT_CONFIDENCE, ENTITY_TYPES, MASK_LABELS
 from ..functions.patterns import PATTERN_NAMES, RE2_SPACE, re2_pattern
-from ..functions.text import REFERENCES
 from ..operators.lexical import PIECE, TAGS
 from .queries import KINDS, PAGE_SITES
 
@@ -173,14 +174,22 @@ def text_content_sql(html: str) -> str:
     quoted = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
     tag = r"<(?:/?[A-Za-z]|[!?])(?:[^>=]+|=[ \t\n\x0B\f\r]*" + quoted + r"?)*(?:>|\z)"
     text = f"regexp_replace({text}, {q(tag)}, '', 'g')"
-    cases = " ".join(f"WHEN {q(name)} THEN {q(char)}" for name, char in REFERENCES.items())
-    name = "split_part(p, ';', 1)"
-    rest = f"substring(p, length({name}) + 2)"
+    known = html5
+    names = "[" + ", ".join(map(q, known)) + "]"
+    chars = "[" + ", ".join(map(q, known.values())) + "]"
+    bare = "|".join(sorted((n for n in known if n[-1] != ";"), key=len, reverse=True))
+    closed = "regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')"
+    opened = f"regexp_extract(p, '^(?:{bare})')"
+    number = "regexp_extract(p, '^#([0-9]{1,8});?', 1)"
+
+    def named(name: str) -> str:
+        return f"{chars}[list_position({names}, {name})] || substring(p, length({name}) + 1)"
+
     return f"""array_to_string(list_transform(string_split({text}, '&'), lambda p, i:
   CASE WHEN i = 1 THEN p
-    WHEN NOT contains(p, ';') THEN '&' || p
-    WHEN regexp_full_match({name}, '#[0-9]{{1,8}}') THEN chr(CAST(substring({name}, 2) AS INTEGER)) || {rest}
-    ELSE coalesce(CASE {name} {cases} END || {rest}, '&' || p) END), '')"""
+    WHEN regexp_matches(p, '^#[0-9]{{1,8}}') THEN chr(CAST({number} AS INTEGER)) || regexp_replace(p, '^#[0-9]+;?', '')
+    WHEN NOT regexp_matches(p, '^[A-Za-z]') THEN '&' || p
+    ELSE coalesce({named(closed)}, {named(opened)}, '&' || p) END), '')"""
 
 
 def escape_sql(text: str) -> str:
@@ -374,6 +383,41 @@ SENT = preview_sql(
 )
 
 
+def settings_log_sql() -> str:
+    """Versions 1 and 3 as they were, and changes 2 and 4 with the mode before them."""
+    log = f"""SELECT scope, enabled, "maskingMode", "useML", 1 AS version FROM ({SETTINGS})
+  UNION ALL SELECT scope, enabled, 'mode' || scope, "useML", 3 FROM ({SETTINGS})"""
+    change = """SELECT CAST(n_nationkey AS VARCHAR) AS scope, n_nationkey % 4 = 0 AS enabled, v AS version
+  FROM nation, (VALUES (2), (4)) t(v) WHERE n_nationkey % 2 = 0"""
+    return f"""WITH log AS ({log}), change AS ({change}) SELECT * FROM log UNION ALL
+SELECT c.scope, c.enabled, (SELECT arg_max(row(l."maskingMode"), l.version)[1] FROM log l
+  WHERE l.scope = c.scope AND l.version <= c.version), TRUE, c.version FROM change c"""
+
+
+def mask_settings_sql() -> str:
+    """Nothing masked, patterns only or patterns and entities, as each letter's scope has it."""
+    both = hybrid_sql("letters", "SELECT id AS k, masked FROM masked", mask=True)
+    patterns = masked_sql("letters", "SELECT id AS k, masked FROM masked")
+    return f"""SELECT l.id AS k, coalesce(c.enabled, TRUE) AS enabled, coalesce(c."useML", TRUE) AS "useML",
+  CAST(0 AS INTEGER) AS ml_errors,
+  CASE WHEN NOT coalesce(c.enabled, TRUE) THEN l.text WHEN coalesce(c."useML", TRUE) THEN b.masked ELSE p.masked END AS masked
+  FROM ({SOURCES['letters'][1]}) l JOIN customer u ON u.c_custkey = l.id
+  JOIN ({both}) b ON b.k = l.id JOIN ({patterns}) p ON p.k = l.id
+  LEFT JOIN ({SETTINGS}) c ON c.scope = CAST(u.c_nationkey AS VARCHAR)"""
+
+
+def tag_errors_sql() -> str:
+    """Masked documents where the chunks with a q have no tokens, and how many those are."""
+    tokens = TOKENS.replace("FROM chunk)))", "FROM chunk WHERE NOT contains(chunk, 'q'))))", 1)
+    steps = [hits(SOURCES["documents"][1]), CHUNKS, tokens, *TO_ENTITIES[2:], FOUND, HYBRID]
+    steps += [RESOLVE.replace("FROM det)", "FROM det2)"), MASK]
+    failed = "SELECT id, count(*) AS n FROM chunk WHERE contains(chunk, 'q') GROUP BY id"
+    return (
+        f"WITH RECURSIVE {', '.join(steps)} SELECT m.id AS doc_id, CAST(coalesce(f.n, 0) AS INTEGER) AS ml_errors, "
+        f"m.masked FROM masked m LEFT JOIN ({failed}) f ON f.id = m.id"
+    )
+
+
 def oracle() -> dict[str, str]:
     documents, pages = SOURCES["documents"][1], SOURCES["pages"][1]
     text_pages = f"SELECT page_id AS id, {text_content_sql('html')} AS text FROM pages"
@@ -443,6 +487,9 @@ def oracle() -> dict[str, str]:
         "update_settings_nation": f"SELECT coalesce(a.scope, b.scope) AS scope, CASE WHEN b.scope IS NULL THEN a.enabled ELSE b.enabled END AS enabled, "
         f'a."maskingMode", CASE WHEN b.scope IS NULL THEN a."useML" ELSE TRUE END AS "useML" FROM ({SETTINGS}) a FULL JOIN '
         "(SELECT CAST(n_nationkey AS VARCHAR) AS scope, n_nationkey % 4 = 0 AS enabled FROM nation WHERE n_nationkey % 2 = 0) b ON a.scope = b.scope",
+        "settings_log_nation": settings_log_sql(),
+        "mask_settings_letters": mask_settings_sql(),
+        "tag_errors_documents": tag_errors_sql(),
         "chunk_text_documents": entity_sql((CHUNKS,), 'SELECT id AS doc_id, chunk_no, "offset", chunk AS text FROM chunk'),
         "tag_tokens_documents": entity_sql(
             (CHUNKS, TOKENS),

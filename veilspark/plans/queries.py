@@ -26,18 +26,17 @@ from ..functions.labels import map_entity, mask_label
 from ..functions.patterns import PATTERN_NAMES
 from ..functions.resolve import resolve_overlaps
 from ..functions.spans import detect_regex
-from ..functions.text import escape_html, field_text, js_trim, text_content
+from ..functions.text import escape_html, field_text, is_blank, js_trim, text_content
 from ..functions.validity import RULES, is_valid
 from ..operators.detect import (
     count_pii,
     detect_pii,
     detection_rows,
     flag_pii,
-    nonblank,
     only_pii,
 )
 from ..operators.joins import without_overlaps
-from ..operators.lexical import load_lexical
+from ..operators.lexical import load_failing, load_lexical
 from ..operators.mappings import cascade_mapping_rows, latest_mappings, span_mapping_rows
 from ..operators.mask import mask_changed, mask_columns, mask_messages
 from ..operators.preview import preview, preview_html, resolve_decisions, send_decided
@@ -198,13 +197,17 @@ def field_text_customer(spark, root):
 
 
 def nonblank_document_lines(spark, root):
-    lines = tables.documents(spark, root).select(
-        "doc_id", F.explode(F.split("text", "\n")).alias("text")
-    )
-    kept = nonblank(lines)
-    return kept.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.length(js_trim(F.col("text")))).alias("chars")
-    )
+    """Lines with visible text and their characters, for documents that have such lines."""
+
+    def count(lines):
+        chars = F.aggregate(
+            lines, F.lit(0).cast("long"), lambda total, line: total + F.length(js_trim(line))
+        )
+        found = F.struct(F.size(lines).cast("long").alias("lines"), chars.alias("chars"))
+        return F.when(F.size(lines) > 0, F.array(found))
+
+    visible = F.filter(F.split("text", "\n"), lambda line: ~is_blank(line))
+    return tables.documents(spark, root).select("doc_id", F.inline(let(visible, count)))
 
 
 def preview_messages(spark, root):
@@ -267,6 +270,28 @@ def update_settings_nation(spark, root):
     return latest_settings(update_settings(log, changes))
 
 
+def settings_log_nation(spark, root):
+    """A log of two versions per scope with changes between and after them."""
+    settings = tables.settings(spark, root)
+    later = settings.withColumn("maskingMode", F.concat(F.lit("mode"), "scope"))
+    log = settings.withColumn("version", F.lit(1)).unionByName(later.withColumn("version", F.lit(3)))
+    nation = spark.read.parquet(f"{root}/nation.parquet").where("n_nationkey % 2 = 0")
+    changes = nation.select(
+        F.col("n_nationkey").cast("string").alias("scope"),
+        (F.col("n_nationkey") % 4 == 0).alias("enabled"),
+        F.explode(F.array(F.lit(2), F.lit(4))).alias("version"),
+    )
+    return update_settings(log, changes)
+
+
+def mask_settings_letters(spark, root):
+    """Letters masked as their scope has it: not at all, by patterns only, or with the tagger."""
+    texts = tables.letters(spark, root, "scope")
+    joined = apply_settings(texts, tables.settings(spark, root))
+    masked = mask_messages(joined, "text", load_lexical, enabled="enabled", use_ml="useML")
+    return masked.select("k", "enabled", "useML", "ml_errors", "masked")
+
+
 # --- entities ------------------------------------------------------------------------
 
 
@@ -383,6 +408,12 @@ def mask_hybrid_documents(spark, root):
     )
 
 
+def tag_errors_documents(spark, root):
+    """A tagger that fails on some chunks: the others are masked, the errors counted."""
+    masked = mask_messages(tables.documents(spark, root), "text", load_failing)
+    return masked.select("doc_id", "ml_errors", "masked")
+
+
 def detect_hybrid_letters(spark, root):
     found = detect_pii(tables.letters(spark, root), "text", load_lexical)
     return _rows(found, "k", F.col("detections"), "ordinal")
@@ -502,6 +533,9 @@ _QUERIES = (
     site_table_pages,
     apply_settings_messages,
     update_settings_nation,
+    settings_log_nation,
+    mask_settings_letters,
+    tag_errors_documents,
     chunk_text_documents,
     tag_tokens_documents,
     locate_tokens_documents,

@@ -64,10 +64,10 @@ def messages(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("text", message_text(F.col("k")))
 
 
-def letters(spark: SparkSession, root: str) -> DataFrame:
+def letters(spark: SparkSession, root: str, *more: str) -> DataFrame:
     """The messages behind a salutation: entities both clear of pattern hits and inside them."""
     text = F.concat(F.lit("Dear Bob Stone, "), F.col("text"))
-    return messages(spark, root).select("k", text.alias("text"))
+    return messages(spark, root).select("k", *more, text.alias("text"))
 
 
 def settings(spark: SparkSession, root: str) -> DataFrame:
