@@ -6,7 +6,8 @@ chunked transfer framing.  A block longer than ``segment_bytes`` becomes a first
 ``WARC-Segment-Origin-ID``; the last one states the total length.  Of pages with equal
 payloads of ``revisit_bytes`` or more, that with the smallest id is a ``response``, the
 others are ``revisit`` records without payload.  Files are plain text output of Spark whose
-line separator is the end of a WARC record, so large files can be read in splits.
+line separator is the end of a WARC record, compressed as archives usually are; uncompressed
+files can be read in splits.
 
 Reading: records are cut at the mark between two records, continuation records are grouped
 by origin, ordered by segment number and checked against the total length, and the chunked
@@ -101,9 +102,12 @@ def write_warc(
     payload: str = "html",
     segment_bytes: int = SEGMENT_BYTES,
     date: str = "2024-01-01T00:00:00Z",
-    compression: str = "none",
+    compression: str = "gzip",
 ) -> None:
-    """Archive files below ``path``, one record or run of segments per page."""
+    """Archive files below ``path``, one record or run of segments per page.
+
+    Compressed files are read whole, one task each; a file is what one task wrote.
+    """
     rows = with_revisits(pages, key, payload).withColumn("_row", F.monotonically_increasing_id())
     revisit = F.col("_first").isNotNull()
     length = F.octet_length("_payload")
