@@ -1,6 +1,16 @@
-"""LM scoring: a hashed maximum-entropy model with a class-factored softmax.
+"""LM scoring: word pairs over a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).
+P0(word | history) = P(class | history) * P(word | class) is the class model, of a fixed size.
+Over it stand the counts of real words, in a table that grows with the training tokens:
+
+    P1 = (count(word two before, word) + m * P0) / (count(word two before) + m)
+    P  = (count(word before, word) + m * P1) / (count(word before) + m)
+
+with m = ``SPREAD`` * count ** ``GROWTH`` + 1 of the respective history, so that each sums to
+what P0 sums to.  The first two tokens of a text have no word two before and take P0 for P1;
+before the first stands the start.  Split into P(class | history) and P(word | class, history)
+by sums over the words of a class, the product is the same, so counts per class need not be kept.
+These counts are ratios, not weights found by gradient updates; only the class model is fitted.
 
 * The 64 most frequent tokens are classes of their own; all other words fall into 64 classes
   by a hash of their last two bytes.  Within a class a word has its share of the counts, plus
@@ -9,14 +19,16 @@ P(word | history) = P(class | history) * P(word | class).
   the word before (n-gram), the coarse class of the word before that (skip), and both hashed
   to 1,024 features.
 
-All features depend on the history only through its two classes, so the counts of (history,
-class) over the training texts are sufficient: Spark sums them over all documents once, and
-every gradient update is a pass over that table, of a size fixed by the numbers above.
+Features of the class model depend on the history only through its two classes, so the counts
+of (history, class) over the training texts are sufficient: Spark sums them over all documents
+once, and every gradient update is a pass over that table, of a size fixed by the numbers above.
 
 Documents are packed into blocks of some megabytes: distinct words as 64-bit hashes and each
 token as its number among them.  Blocks are written once; counts, statistics and scores read
 them as numpy arrays.  Only distinct words of a block are shuffled, to be counted and to bring
-their counts back, so a word in every document makes one row per block.
+their counts back, so a word in every document makes one row per block.  Pairs of words are
+treated alike: a row per distinct pair and block, under a 64-bit hash; what comes back is the
+count of those that other blocks have as well.
 
 Defined cases: a null text is empty and has its end as the only token; a null id counts as
 training text; rows are independent, repeated ones count and score alike; without training
@@ -33,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -42,6 +54,7 @@ from .base import staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 5 << 20
+PAIR_ROWS = 1 << 16
 HEADS = TAILS = 64
 CLASSES = HEADS + TAILS
 BEFORE = CLASSES + 1  # and the start of a text
@@ -49,6 +62,8 @@ COARSE = 33
 HISTORIES = BEFORE * COARSE
 HASHED = 1024
 END_HASH = W.mix(np.array([0x1234567], np.uint64), 77)[0]
+START_HASH = W.mix(np.array([0x7654321], np.uint64), 78)[0]
+SPREAD, GROWTH = 2.0, 0.75  # weight of the shorter history against a count
 _TAIL_OF = np.array([zlib.crc32(bytes((i >> 8, i & 255))) % TAILS for i in range(1 << 16)], np.uint8)
 # the start of a text is a class of its own, 16 frequent tokens are, the others share
 _COARSE_OF = np.array([min(i // 4, 15) if i < HEADS else 16 + (i - HEADS) // 4 for i in range(CLASSES)] + [32])
@@ -98,7 +113,7 @@ class _Block:
     def __init__(self, batch: pa.RecordBatch, k: int, heads: np.ndarray):
         take = lambda name, t: batch.column(name)[k].values.to_numpy(zero_copy_only=False).astype(t)
         self.held, self.sizes = take("held", bool), take("sizes", np.int64)
-        words = np.ascontiguousarray(take("words", np.int64)).view(np.uint64)
+        self.words = words = np.ascontiguousarray(take("words", np.int64)).view(np.uint64)
         total = int(self.sizes.sum())
         raw = pa.decompress(batch.column("codes")[k].as_py(), total * 4, "zstd", asbytes=True)
         self.codes = np.frombuffer(raw, np.int32)
@@ -122,6 +137,75 @@ class _Block:
         two[second] = CLASSES
         self.histories = one * COARSE + _COARSE_OF[two]
         self.docs = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = first
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs as hashes, how often each is in training texts, and of each token its
+        number among them: with the word before, with the word two before, and of that word
+        itself.  The last two are -1 where there is no such word."""
+        h = self.words[self.codes]
+        before = np.empty_like(h)
+        before[1:] = h[:-1]
+        before[self.first] = START_HASH
+        place = np.arange(len(h)) - self.first[self.docs]
+        far = np.flatnonzero(place > 1)
+        keys = np.concatenate((
+            W.mix(W.mix(before, 6) + h, 7), W.mix(W.mix(h[far - 2], 8) + h[far], 9), W.mix(h[far - 2], 10),
+        ))
+        use = ~self.held[self.docs]
+        distinct, at = np.unique(keys, return_inverse=True)
+        trained = np.bincount(at[np.concatenate((use, use[far], use[far]))], minlength=len(distinct))
+        skip, alone = np.full(len(h), -1), np.full(len(h), -1)
+        skip[far], alone[far] = at[len(h) : len(h) + len(far)], at[len(h) + len(far) :]
+        return distinct, trained, at[: len(h)], skip, alone
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block and distinct pair: its number in the block, hash and training count."""
+    none = np.zeros(0, np.uint64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            keys, trained = _Block(batch, k, none).pairs()[:2]
+            for low in range(0, len(keys), PAIR_ROWS):
+                part = slice(low, low + PAIR_ROWS)
+                n = len(keys[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, batch.column("block")[k].as_py())), pa.array(np.arange(low, low + n, dtype=np.int32)),
+                     W.signed(keys[part]), pa.array(trained[part].astype(np.int32))],
+                    names=["block", "at", "key", "c"],
+                )
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of ``block`` as one row per block: numbers and counts."""
+    held, at, n = None, [], []
+
+    def done() -> pa.RecordBatch:
+        raw = np.concatenate(at).astype(np.int32).tobytes() + np.concatenate(n).astype(np.int64).tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([held], pa.int64()), pa.array([sum(map(len, at))], pa.int32()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())],
+            names=["block", "n_pairs", "pairs"],
+        )
+
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
+            if held is not None and blocks[part[0]] != held:
+                yield done()
+                at, n = [], []
+            held = int(blocks[part[0]])
+            at.append(batch.column("at").to_numpy()[part].astype(np.int32))
+            n.append(batch.column("n").to_numpy()[part].astype(np.int64))
+    if held is not None:
+        yield done()
+
+
+def _pair_counts(blocks: DataFrame) -> DataFrame:
+    """``block``, ``n_pairs``, ``pairs``: training counts of the pairs that other blocks have as well."""
+    rows = blocks.drop("ids", "trained").mapInArrow(_pairs, "block long, at int, key long, c int")
+    met = rows.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where("n > c")
+    ordered = met.select("block", "at", "n").repartition("block").sortWithinPartitions("block", "at")
+    return ordered.mapInArrow(_gather, "block long, n_pairs int, pairs binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch], heads: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -238,7 +322,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
         entries.select("block", "at", "words").join(counts.select("words", "c"), "words")
         .groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("counts"))
     )
-    joined = blocks.drop("trained").join(known, "block", "left")
+    joined = blocks.drop("trained").join(known, "block", "left").join(_pair_counts(blocks), "block", "left")
     return joined.mapInArrow(
         lambda b: _score(b, model.value, n, v),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
@@ -261,11 +345,33 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple, n: int, v: int) -> I
             base = np.log10((c + 1) / (n + v + 1))
             docs, codes, many = block.docs, block.codes, len(block.sizes)
             given = table[block.histories, block.classes].astype(float)
+            score = _with_pairs(block, batch, k, c, inside[codes] + given)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("ids")[k].values, pa.array(block.held), pa.array(block.sizes),
                  pa.array(np.bincount(docs, c[codes] > 0, minlength=many).astype(np.int64)),
                  pa.array(np.full(many, n, np.int64)),
                  pa.array(np.bincount(docs, base[codes], minlength=many)),
-                 pa.array(np.bincount(docs, inside[codes] + given, minlength=many))],
+                 pa.array(np.bincount(docs, score, minlength=many))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+
+
+def _with_pairs(block: _Block, batch: pa.RecordBatch, k: int, c: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Logarithms of P of each token, from those of P0 (``given``) and the counts of words and pairs."""
+    _, pairs, with_one, with_two, alone = block.pairs()
+    size = batch.column("n_pairs")[k].as_py()
+    if size:
+        raw = pa.decompress(batch.column("pairs")[k].as_py(), size * 12, "zstd", asbytes=True)
+        pairs[np.frombuffer(raw, np.int32, size)] = np.frombuffer(raw, np.int64, size, size * 4)
+    p = 10**given
+    far = with_two >= 0
+    p[far] = _mixed(pairs[with_two[far]], pairs[alone[far]], p[far])
+    of_one = np.empty(len(p), np.int64)  # a word is before as often as it is there, the start as often as the end
+    of_one[1:] = c[block.codes[:-1]]
+    of_one[block.first] = c[block.codes[block.first + block.sizes - 1]]
+    return np.log10(_mixed(pairs[with_one], of_one, p))
+
+
+def _mixed(both: np.ndarray, alone: np.ndarray, p: np.ndarray) -> np.ndarray:
+    m = SPREAD * alone**GROWTH + 1
+    return (both + m * p) / (alone + m)
