@@ -58,5 +58,52 @@ FROM lists l LEFT JOIN kept k ON l.doc_id = k.doc_id
 """
 
 
+
+
+def _clusters(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Every round as two more tables: assignments, then floors of the means."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, row, v, min(d) AS distance, arg_min(c, d * 1000 + c)::INT AS cluster
+  FROM (
+    SELECT vec_id, row, v, c, list_sum(list_transform(range(1, {dims} + 1), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d
+    FROM kept, c{r}
+  ) GROUP BY vec_id, row, v
+)"""
+    update = """
+s{r} AS (
+  SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{p}, range(1, {dims} + 1) t(i) GROUP BY ALL
+), c{r} AS MATERIALIZED (
+  SELECT c, coalesce(any_value(g.m), any_value(o.m)) AS m FROM c{p} o LEFT JOIN (
+    SELECT cluster, list(floor_div ORDER BY i) AS m FROM (
+      SELECT cluster, i, CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END AS floor_div FROM s{r}
+    ) GROUP BY cluster
+  ) g ON o.c = g.cluster GROUP BY c
+)"""
+    parts = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INT AS c, v AS m FROM kept
+  QUALIFY c < {k}
+)"""]
+    for r in range(rounds + 1):
+        if r:
+            parts.append(update.format(r=r, p=r - 1, dims=dims))
+        parts.append(assign.format(r=r, dims=dims))
+    last = f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, array_to_string(m, ',') AS centroid, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON cluster = c"""
+    return ",".join(parts) + last
+
+
 def oracle() -> dict[str, str]:
-    return {"op4_chat": CHAT, "op7_warc": WARC, "op8_substrings": SUBSTRINGS}
+    return {
+        "op4_chat": CHAT,
+        "op7_warc": WARC,
+        "op8_substrings": SUBSTRINGS,
+        "op13_centroids": _clusters(),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .base import shared_folder, table
 from .chat import format_chat, learned_text, read_chat
+from .clustering import cluster_vectors
 from .decontaminate import contaminated
 from .lines import remove_repeated_lines
 from .mixing import fit_mixture, rate_table
@@ -114,6 +115,10 @@ def op10_pseudonyms(spark, root):
     )
 
 
+def op13_centroids(spark, root):
+    return cluster_vectors(table(spark, root, "embeddings"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "op1_lines": op1_lines,
@@ -126,4 +131,5 @@ def registry() -> dict[str, Query]:
         "op8_substrings": op8_substrings,
         "op9_ngram_join": op9_ngram_join,
         "op10_pseudonyms": op10_pseudonyms,
+        "op13_centroids": op13_centroids,
     }
