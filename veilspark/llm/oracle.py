@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .chat import END, START
+from .license_rules import parse
+from .licenses import BASE, BASE_LEVEL, CONFIDENCE, LOWER, UPPER
 from .queries import PROBE
 
-
-
 CHAT = f"""
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -100,10 +100,54 @@ FROM a{rounds} JOIN c{rounds} ON cluster = c"""
     return ",".join(parts) + last
 
 
+def _licenses() -> str:
+    """Every rule on every text, without gates; what another detection holds is joined away."""
+
+    def hits(pattern: str, level: int, no: int, label: str) -> str:
+        return (
+            f"SELECT doc_id, {no} AS no, {level} AS level, '{label}' AS label, "
+            f"unnest(regexp_extract_all(t, '{pattern}')) AS m FROM texts"
+        )
+
+    phrases = {
+        label: " [0-9]+:" + "  [0-9]+:".join(p.split(" ")) + " " for label, p in BASE.items()
+    }
+    found = " UNION ALL ".join(hits(r.pattern, r.level, r.no, r.label) for r in parse())
+    base = " UNION ALL ".join(hits(p, BASE_LEVEL, 0, label) for label, p in phrases.items())
+    return f"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), texts AS MATERIALIZED (
+  SELECT doc_id, array_to_string(list_transform(w, lambda x, i: ' ' || (i - 1) || ':' || x || ' '), '') AS t FROM words
+), found AS MATERIALIZED (
+  SELECT *, regexp_extract(m, '^ ([0-9]+):', 1)::INT AS a, regexp_extract(m, '([0-9]+):[^ ]* $', 1)::INT AS z
+  FROM ({found})
+), kept AS (
+  SELECT * FROM found f WHERE NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.doc_id = f.doc_id AND o.a <= f.a AND o.z >= f.z AND o.level <= f.level
+      AND (o.a < f.a OR o.z > f.z OR o.level < f.level OR o.no < f.no))
+), base AS (
+  SELECT doc_id, label, regexp_extract(m, '^ ([0-9]+):', 1)::BIGINT AS a FROM ({base})
+), places AS (
+  SELECT doc_id, count(*) AS n, min(a) AS first_word, max(a) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id
+), labels AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(level) AS level
+  FROM (SELECT doc_id, label, level FROM kept UNION ALL SELECT doc_id, label, {BASE_LEVEL} FROM base) GROUP BY doc_id
+)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce({list(CONFIDENCE)}[level], 0)::DOUBLE AS score
+FROM words w LEFT JOIN places p ON w.doc_id = p.doc_id LEFT JOIN labels l ON w.doc_id = l.doc_id
+"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op4_chat": CHAT,
         "op7_warc": WARC,
         "op8_substrings": SUBSTRINGS,
+        "op11_licenses": _licenses(),
         "op13_centroids": _clusters(),
     }

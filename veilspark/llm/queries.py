@@ -12,6 +12,7 @@ from .base import shared_folder, table
 from .chat import format_chat, learned_text, read_chat
 from .clustering import cluster_vectors
 from .decontaminate import contaminated
+from .licenses import scan_licenses
 from .lines import remove_repeated_lines
 from .mixing import fit_mixture, rate_table
 from .ngram_join import similar_documents
@@ -115,6 +116,16 @@ def op10_pseudonyms(spark, root):
     )
 
 
+def op11_licenses(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op13_centroids(spark, root):
     return cluster_vectors(table(spark, root, "embeddings"))
 
@@ -131,5 +142,6 @@ def registry() -> dict[str, Query]:
         "op8_substrings": op8_substrings,
         "op9_ngram_join": op9_ngram_join,
         "op10_pseudonyms": op10_pseudonyms,
+        "op11_licenses": op11_licenses,
         "op13_centroids": op13_centroids,
     }
