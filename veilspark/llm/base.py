@@ -22,17 +22,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
     """The rows written to the shared folder and read back.
 
     Cuts lineage: an executor lost later costs the reading of its part of the table, not
-    the stages that made it.
+    the stages that made it.  ``instead``: an earlier staged table that nothing reads once this
+    one is written; it is removed.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if instead is not None:
+        drop_staged(instead)
     return df.sparkSession.read.parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Remove the folder behind a staged table."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        remove_folder(df.sparkSession, folder)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -59,6 +59,29 @@ FROM lists l LEFT JOIN kept k ON l.doc_id = k.doc_id
 
 
 
+SEARCH = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+), sizes AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY ALL
+), whole AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM sizes
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term, docs
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // tokens))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), whole GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def _clusters(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
     """Every round as two more tables: assignments, then floors of the means."""
@@ -149,5 +172,6 @@ def oracle() -> dict[str, str]:
         "op7_warc": WARC,
         "op8_substrings": SUBSTRINGS,
         "op11_licenses": _licenses(),
+        "op12_search": SEARCH,
         "op13_centroids": _clusters(),
     }

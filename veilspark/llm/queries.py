@@ -19,6 +19,7 @@ from .ngram_join import similar_documents
 from .pii import pseudonymise
 from .quality import P, fit_quality_rules, judge_quality
 from .scoring import score_documents
+from .search import search
 from .substrings import remove_repeats
 from .warc import read_warc, write_warc
 
@@ -126,6 +127,11 @@ def op11_licenses(spark, root):
     )
 
 
+def op12_search(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return search(docs, table(spark, root, "benchmark"), 10)
+
+
 def op13_centroids(spark, root):
     return cluster_vectors(table(spark, root, "embeddings"))
 
@@ -143,5 +149,6 @@ def registry() -> dict[str, Query]:
         "op9_ngram_join": op9_ngram_join,
         "op10_pseudonyms": op10_pseudonyms,
         "op11_licenses": op11_licenses,
+        "op12_search": op12_search,
         "op13_centroids": op13_centroids,
     }

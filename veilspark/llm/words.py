@@ -86,8 +86,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """``texts``: strings without nulls."""
+def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
+    """``texts``: strings without nulls; ``space``: by byte, what stands between words."""
     texts = pc.cast(texts, pa.large_binary())
     _, offsets, data = texts.buffers()
     n = len(texts)
@@ -97,7 +97,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     offsets = offsets - low
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = space[data]
     inner = offsets[:-1][offsets[:-1] < len(data)]
     before = np.ones(len(data), bool)
     before[1:] = space[:-1]
@@ -110,6 +110,16 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets), offsets)
 
 
+def strings(words: Words, at: np.ndarray) -> pa.Array:
+    """The words at the places ``at``, as strings."""
+    size = words.ends[at] - words.starts[at]
+    offsets = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    each = np.arange(offsets[-1]) + np.repeat(words.starts[at] - offsets[:-1], size)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words.data[each]))]
+    return pa.Array.from_buffers(pa.large_string(), len(at), buffers)
+
+
 def windows(words: Words, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``k`` words from each word on, and whether they lie in one document."""
     h = words.hashes if hashes is None else hashes
