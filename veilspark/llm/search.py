@@ -168,6 +168,8 @@ def search(
             break
         ahead = ahead.where(F.col("round") == current)
         wanted = ahead.select("q", "term", "value", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        # written, so that its size is known: a small round needs no shuffle of the postings
+        wanted = staged(wanted, "search-wanted")
         met = dealt.join(wanted, ["term", "salt"]).select("q", "row", (F.col("value") * F.col("share")).alias("score"))
         if sums is not None:
             going = state.where("NOT closed").select("q", "floor", "after")
