@@ -1,5 +1,6 @@
 """Find and mask personal data in tables and streams of text, on Spark."""
 
+from .functions.text import inner_text, text_content
 from .operators.detect import (
     count_pii,
     detect_pii,

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
+from ..functions.html import BLOCKS
 from ..functions.labels import CONFIDENCE, DEFAULT_CONFIDENCE, ENTITY_TYPES, MASK_LABELS
 from ..functions.patterns import PATTERN_NAMES, RE2_SPACE, re2_pattern
 from ..operators.lexical import PIECE, TAGS
@@ -164,16 +165,49 @@ def preview_sql(body: str, select: str) -> str:
 # --- text ----------------------------------------------------------------------------
 
 
+_WS = r"\t\n\f\r "
+_ATTRIBUTES = (
+    rf"""(?:[{_WS}/]+|[^{_WS}/>][^{_WS}/>=]*(?:[{_WS}]*=[{_WS}]*(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[^{_WS}>"'][^{_WS}>]*)?)?)*(?:>|\z)"""
+)
+
+
+def _element(name: str, content: str = ".*?") -> str:
+    edge = rf"(?:[{_WS}/]{_ATTRIBUTES}|>|\z)"
+    return rf"{name}{edge}{content}(?:</{name}{edge}|\z)"
+
+
+def _markup(rendered: bool) -> str:
+    """Everything between visible texts; groups: tag name, a textarea's text, a title's text."""
+    hidden = ["script", "style", "iframe", "noembed", "noframes", "noscript"]
+    ways = [r"!--(?:-?>|.*?(?:--!?>|\z))", *map(_element, hidden)]
+    ways.append(_element("textarea", r"(?:\r?\n)?(.*?)"))
+    ways.append(_element("title", ".*?()" if rendered else "(.*?)"))
+    ways.append(rf"(/?[a-z][^{_WS}/>]*){_ATTRIBUTES}")
+    ways.append(r"(?:[!?][^>]*(?:>|\z)|/(?:>|[^a-z>][^>]*(?:>|\z)))")
+    return f"(?is)<(?:{'|'.join(ways)})"
+
+
 def text_content_sql(html: str) -> str:
-    text = f"regexp_replace({html}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
-    for element in ("script", "style"):
-        space = r"[ \t\n\x0B\f\r]"
-        text = (
-            f"regexp_replace({text}, '(?is)<{element}(?:{space}[^>]*)?>.*?(?:</{element}{space}*>|\\z)', '', 'g')"
-        )
-    quoted = r"""(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z))"""
-    tag = r"<(?:/?[A-Za-z]|[!?])(?:[^>=]+|=[ \t\n\x0B\f\r]*" + quoted + r"?)*(?:>|\z)"
-    text = f"regexp_replace({text}, {q(tag)}, '', 'g')"
+    text = f"regexp_replace({html}, {q(_markup(False))}, chr(1) || '\\1\\2', 'g')"
+    return f"replace({decoded_sql(text)}, chr(1), '')"
+
+
+def inner_text_sql(html: str) -> str:
+    """For pages without ``pre`` and ``textarea``: marks of breaks, then their runs as lines."""
+    marks = "chr(1) || '\\3' || chr(2) || '\\1\\2'"
+    text = decoded_sql(f"regexp_replace({html}, {q(_markup(True))}, {marks}, 'g')")
+    steps = [
+        (r"(?i)\x01/t[dh]\x02[\t\n\f\r ]*\x01t[dh]\x02", "\x06"), (r"(?i)\x01/?p\x02", "\x03"), (r"(?i)\x01br\x02", "\x05"),
+        (rf"(?i)\x01/?(?:{'|'.join(BLOCKS)})\x02", "\x04"), (r"\x01[^\x02]*\x02", ""), (r"[\t\n\f\r ]+", " "),
+        (r"^(?: ?[\x03\x04])+|(?:[\x03\x04] ?)+$", ""), (r"^ | $", ""), (r" ?([\x05\x06]) ?", r"\1"),
+        (r"(?: ?\x04)* ?\x03(?: ?[\x03\x04])* ?", "\n\n"), (r"(?: ?\x04)+ ?", "\n"),
+    ]
+    for pattern, mark in steps:
+        text = f"regexp_replace({text}, {q(pattern)}, {q(mark)}, 'g')"
+    return f"replace(replace({text}, chr(5), chr(10)), chr(6), chr(9))"
+
+
+def decoded_sql(text: str) -> str:
     known = html5
     names = "[" + ", ".join(map(q, known)) + "]"
     chars = "[" + ", ".join(map(q, known.values())) + "]"
@@ -454,6 +488,7 @@ def oracle() -> dict[str, str]:
         "WHERE masked <> text",
         "mask_label_messages": f"WITH {hits(SOURCES['messages'][1])} SELECT type, {label('type')} AS mask, count(*) AS hits "
         "FROM det GROUP BY type",
+        "inner_text_pages": f"SELECT page_id, {inner_text_sql('html')} AS text FROM pages",
         "text_content_pages": f"SELECT page_id, {text_content_sql('html')} AS text FROM pages",
         "escape_html_pages": f"SELECT page_id, {escape_sql('html')} AS safe FROM pages",
         "field_text_customer": "SELECT c_custkey AS k, coalesce(nullif(CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN c_name END, ''), "

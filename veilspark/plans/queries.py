@@ -26,7 +26,7 @@ from ..functions.labels import map_entity, mask_label
 from ..functions.patterns import PATTERN_NAMES
 from ..functions.resolve import resolve_overlaps
 from ..functions.spans import detect_regex
-from ..functions.text import escape_html, field_text, is_blank, js_trim, text_content
+from ..functions.text import escape_html, field_text, inner_text, is_blank, js_trim, text_content
 from ..functions.validity import RULES, is_valid
 from ..operators.detect import (
     count_pii,
@@ -176,6 +176,11 @@ def mask_label_messages(spark, root):
 # --- text, previews, decisions -------------------------------------------------------
 
 
+def inner_text_pages(spark, root):
+    pages = tables.pages(spark, root)
+    return pages.select("page_id", inner_text(F.col("html")).alias("text"))
+
+
 def text_content_pages(spark, root):
     pages = tables.pages(spark, root)
     return pages.select("page_id", text_content(F.col("html")).alias("text"))
@@ -519,6 +524,7 @@ _QUERIES = (
     mask_columns_pages,
     mask_changed_documents,
     mask_label_messages,
+    inner_text_pages,
     text_content_pages,
     escape_html_pages,
     field_text_customer,
