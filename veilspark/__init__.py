@@ -20,6 +20,14 @@ from .operators.tagging import tag_errors, tag_tokens, token_tagger, with_entiti
 from .session import build_session, checkpoint_root
 from .sources.mapping_store import compact_mappings, load_mappings, save_mappings
 from .sources.messages import read_message_stream, read_messages, write_masked
+from .streaming.settled import (
+    alert_settled,
+    flush_settled,
+    mask_settled,
+    settings_as_of,
+    settings_log,
+    write_settled,
+)
 from .streaming.streams import alert_stream, flush_mappings, mask_stream, write_stream
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -10,19 +10,22 @@ from pyspark.sql import types as T
 
 from ..functions.resolve import overlaps
 
-# Parts into which the texts of one key are dealt, where many texts may share it.
-SALTS = 16
+# Many texts may share a key: deal them over as many parts as a shuffle has.
+SALTS = None
 
 
 def join_lookup(
-    texts: DataFrame, side: DataFrame, keys: list[str], how: str, salts: int = 1
+    texts: DataFrame, side: DataFrame, keys: list[str], how: str, salts: int | None = 1
 ) -> DataFrame:
     """Join ``texts`` with a narrow ``side``; whether the side is broadcast is the planner's choice.
 
     With ``salts``, every row of the side is repeated that often and the texts of a key are
     dealt over the repetitions by a hash of their columns, so that a join which shuffles does
-    not send all texts of a hot key to one task.  The plan is the same at every size.
+    not send all texts of a hot key to one task.  None stands for the number of shuffle
+    partitions, so that a hot key can reach every task of the stage.
     """
+    if salts is None:
+        salts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts == 1 or side.isStreaming:
         return texts.join(side, keys, how)
     hashed = [f.name for f in texts.schema if not _unhashable(f.dataType)]

@@ -410,6 +410,31 @@ SPAN_MAPPINGS = masked_sql(
 )
 
 
+# The settings of a message's half: of odd keys, even nations have been changed.
+_HALVES = (
+    "SELECT s.*, s.id % 2 + 1 AS half, CASE WHEN s.id % 2 = 1 AND CAST(s.scope AS INTEGER) % 2 = 0 "
+    "THEN CAST(s.scope AS INTEGER) % 4 = 0 ELSE coalesce(c.enabled, TRUE) END AS enabled "
+    f"FROM src s LEFT JOIN ({SETTINGS}) c ON c.scope = s.scope"
+)
+
+
+def settled_sql() -> dict[str, str]:
+    return {
+        "mask_settled_messages": masked_sql(
+            "messages",
+            "SELECT h.id AS k, h.half AS settings_version, h.enabled, CASE WHEN h.enabled THEN m.masked ELSE h.text END AS masked "
+            f"FROM ({_HALVES}) h JOIN masked m ON m.id = h.id",
+        ),
+        "alert_settled_messages": f"WITH src AS ({SOURCES['messages'][1]}) SELECT id AS k, half AS settings_version "
+        f"FROM ({_HALVES}) WHERE enabled AND {any_match('text')}",
+        "flush_settled_messages": masked_sql(
+            "messages",
+            f"SELECT scope, mask, arg_max(value, row(half, id, -rn)) AS value FROM (SELECT h.scope, {label('k.type')} AS mask, "
+            f"k.value, h.half, k.id, k.rn FROM kept k JOIN ({_HALVES}) h ON h.id = k.id WHERE h.enabled) GROUP BY scope, mask",
+        ),
+    }
+
+
 SENT = preview_sql(
     SOURCES["messages"][1],
     "SELECT id AS k, choice, CASE WHEN choice = 'protected' THEN masked ELSE text END AS sent FROM "
@@ -588,4 +613,5 @@ def oracle() -> dict[str, str]:
         "mask_stream_documents": mask_documents,
         "alert_stream_documents": f"SELECT doc_id FROM documents WHERE {any_match('text')}",
         "flush_mappings_messages": SPAN_MAPPINGS,
+        **settled_sql(),
     }

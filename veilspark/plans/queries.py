@@ -46,6 +46,13 @@ from ..operators.tagging import tag_tokens
 from ..session import checkpoint_root
 from ..sources.mapping_store import load_mappings, save_mappings
 from ..sources.messages import read_message_stream, write_masked
+from ..streaming.settled import (
+    alert_settled,
+    flush_settled,
+    mask_settled,
+    settings_log,
+    write_settled,
+)
 from ..streaming.streams import alert_stream, flush_mappings, mask_stream, write_stream
 from . import tables
 
@@ -482,6 +489,49 @@ def alert_stream_documents(spark, root):
     return spark.read.parquet(path)
 
 
+def _settled(spark, root, write):
+    """Two triggers over the messages, the settings of even nations changed in between."""
+    path = _scratch(spark, "settled")
+    nation = spark.read.parquet(f"{root}/nation.parquet").where("n_nationkey % 2 = 0")
+    changes = nation.select(
+        F.col("n_nationkey").cast("string").alias("scope"),
+        (F.col("n_nationkey") % 4 == 0).alias("enabled"),
+        F.lit(None).cast("string").alias("maskingMode"),
+        F.lit(True).alias("useML"),
+    )
+    texts = tables.messages(spark, root)
+    for half, log in enumerate((tables.settings(spark, root), changes)):
+        log.withColumn("version", F.lit(half + 1).cast("long")).write.mode("append").parquet(f"{path}/log")
+        texts.where(F.col("k") % 2 == half).write.mode("append").parquet(f"{path}/in")
+        stream = read_message_stream(spark, f"{path}/in", texts.schema)
+        write(stream, settings_log(spark, f"{path}/log"), f"{path}/out", f"{path}/place").awaitTermination()
+    return f"{path}/out"
+
+
+def mask_settled_messages(spark, root):
+    name = f"settled-{uuid.uuid4().hex}"
+    out = _settled(
+        spark, root, lambda s, log, to, at: write_settled(s, log, mask_settled, to, name, checkpoint=at)
+    )
+    return spark.read.parquet(out).select("k", "settings_version", "enabled", "masked")
+
+
+def alert_settled_messages(spark, root):
+    name = f"alerts-{uuid.uuid4().hex}"
+    out = _settled(
+        spark, root, lambda s, log, to, at: write_settled(s, log, alert_settled, to, name, checkpoint=at)
+    )
+    return spark.read.parquet(out).select("k", "settings_version")
+
+
+def flush_settled_messages(spark, root):
+    name = f"flushes-{uuid.uuid4().hex}"
+    out = _settled(
+        spark, root, lambda s, log, to, at: flush_settled(s, log, to, F.col("k"), name, checkpoint=at)
+    )
+    return load_mappings(spark, out)
+
+
 def flush_mappings_messages(spark, root):
     path = _scratch(spark, "flush")
     customers = read_message_stream(
@@ -565,6 +615,9 @@ _QUERIES = (
     write_masked_documents,
     mask_stream_documents,
     alert_stream_documents,
+    mask_settled_messages,
+    alert_settled_messages,
+    flush_settled_messages,
     flush_mappings_messages,
 )
 

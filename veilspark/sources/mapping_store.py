@@ -22,6 +22,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def folder_is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was completed."""
+    fs, marker = _hadoop_path(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
 WHOLE = "all"  # the run of rewrites
 
 
