@@ -17,6 +17,17 @@ from .operators.preview import preview, preview_html, resolve_decisions, send_de
 from .operators.settings import apply_settings, latest_settings, update_settings
 from .operators.sites import SITES, site_filter
 from .operators.tagging import tag_errors, tag_tokens, token_tagger, with_entities
+from .operators.token_tables import (
+    chunk_rows,
+    join_subword_rows,
+    keep_entity_rows,
+    merge_entity_rows,
+    regroup_chunks,
+    tag_chunk_rows,
+    tile_rows,
+    token_rows,
+    with_entities_by_chunk,
+)
 from .session import build_session, checkpoint_root
 from .sources.mapping_store import compact_mappings, load_mappings, save_mappings
 from .sources.messages import read_message_stream, read_messages, write_masked

@@ -357,6 +357,21 @@ det2 AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY part, no) -
   type, value, "index", source, confidence FROM combined)"""
 
 
+# Words that stand where they are said to, and entities as gaps and islands of them.
+ISLANDS = f"""there AS (SELECT p.*, {_TYPE} AS type FROM placed p JOIN src s ON s.id = p.id
+  WHERE wstart < wend AND lower(substring(s.text, wstart + 1, wend - wstart)) = lower(p.word)),
+opened AS (SELECT *, CASE WHEN type = lag(type) OVER w AND wstart - lag(wend) OVER w BETWEEN 0 AND 2 THEN 0 ELSE 1 END AS o
+  FROM there WINDOW w AS (PARTITION BY id ORDER BY wn)),
+island AS (SELECT *, sum(o) OVER (PARTITION BY id ORDER BY wn) AS grp FROM opened),
+entity AS (SELECT i.id, grp, arg_min(entity, wn) AS entity, any_value(type) AS type, min(score) AS score, min(wstart) AS estart,
+  max(wend) AS eend, CASE WHEN count(*) = 1 THEN any_value(word) ELSE substring(any_value(s.text), min(wstart) + 1, max(wend) - min(wstart)) END AS word
+  FROM island i JOIN src s ON s.id = i.id GROUP BY i.id, grp)"""
+_ROW_ENTITY = (
+    "SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY grp) - 1 AS INTEGER) AS "
+    'entity_no, entity, type, word, score, estart AS "start", eend AS "end" FROM entity'
+)
+
+
 def entity_sql(upto: tuple[str, ...], select: str) -> str:
     body = SOURCES["documents"][1]
     return f"WITH RECURSIVE src AS ({body}), {', '.join(upto)} {select}"
@@ -487,8 +502,7 @@ def oracle() -> dict[str, str]:
     found = {
         f"detect_{name}_messages": detection_sql("messages", (name,)) for name in PATTERN_NAMES
     }
-    return {
-        **found,
+    found |= {
         "detect_regex_messages": detection_sql("messages"),
         "detect_regex_documents": detection_sql("documents"),
         "detect_regex_pages": detection_sql("pages"),
@@ -615,3 +629,9 @@ def oracle() -> dict[str, str]:
         "flush_mappings_messages": SPAN_MAPPINGS,
         **settled_sql(),
     }
+    # the same over rows
+    found["token_rows_documents"] = found["locate_tokens_documents"]
+    found["join_subword_rows_documents"] = found["join_subwords_documents"]
+    found["merge_entity_rows_documents"] = entity_sql((*TO_WORDS, FILL, ISLANDS), _ROW_ENTITY)
+    found["mask_by_chunk_documents"] = found["tag_errors_documents"]
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -24,7 +24,7 @@ from ..functions.entities import (
 )
 from ..functions.labels import map_entity, mask_label
 from ..functions.patterns import PATTERN_NAMES
-from ..functions.resolve import resolve_overlaps
+from ..functions.resolve import mask_spans, resolve_overlaps
 from ..functions.spans import detect_regex
 from ..functions.text import escape_html, field_text, inner_text, is_blank, js_trim, text_content
 from ..functions.validity import RULES, is_valid
@@ -32,6 +32,7 @@ from ..operators.detect import (
     count_pii,
     detect_pii,
     detection_rows,
+    detections,
     flag_pii,
     only_pii,
 )
@@ -43,6 +44,15 @@ from ..operators.preview import preview, preview_html, resolve_decisions, send_d
 from ..operators.settings import apply_settings, latest_settings, update_settings
 from ..operators.sites import site_filter
 from ..operators.tagging import tag_tokens
+from ..operators.token_tables import (
+    chunk_rows,
+    join_subword_rows,
+    merge_entity_rows,
+    tag_chunk_rows,
+    tile_rows,
+    token_rows,
+    with_entities_by_chunk,
+)
 from ..session import checkpoint_root
 from ..sources.mapping_store import load_mappings, save_mappings
 from ..sources.messages import read_message_stream, write_masked
@@ -359,6 +369,52 @@ def merge_entities_documents(spark, root):
     return _rows(_tagged(spark, root), "doc_id", _entities(), "entity_no")
 
 
+def _stored_chunks(spark, root):
+    """The documents' chunks with the tagger's answers, as rows that are written and read back."""
+    chunks = chunk_rows(tables.documents(spark, root), "doc_id")
+    path = _scratch(spark, "tagged-chunks")
+    tag_chunk_rows(chunks, "doc_id", load=load_lexical).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _number(rows, order, name):
+    """Consecutive numbers within a document."""
+    by = Window.partitionBy("doc_id").orderBy(*order)
+    return rows.withColumn(name, F.row_number().over(by) - 1).drop(*order)
+
+
+def token_rows_documents(spark, root):
+    rows = token_rows(_stored_chunks(spark, root), "doc_id").withColumnRenamed("token_no", "in_chunk")
+    return _number(rows, ["chunk_no", "in_chunk"], "token_no")
+
+
+def join_subword_rows_documents(spark, root):
+    tokens = token_rows(_stored_chunks(spark, root), "doc_id")
+    return join_subword_rows(tokens, "doc_id").drop("piece").withColumn("word_no", F.col("word_no").cast("int"))
+
+
+def merge_entity_rows_documents(spark, root):
+    """Words that stand where they are said to, as rows; entities by gaps and islands."""
+    placed = F.filter(
+        fill_positions(_words(), F.col("text")),
+        lambda w: (w["start"] < w["end"])
+        & (F.lower(F.substring("text", w["start"] + 1, w["end"] - w["start"])) == F.lower(w["word"])),
+    )
+    path = _scratch(spark, "word-rows")
+    _rows(_tagged(spark, root), "doc_id", placed, "word_no").write.parquet(path)
+    tiles = tile_rows(chunk_rows(tables.documents(spark, root), "doc_id"), "doc_id")
+    merged = merge_entity_rows(spark.read.parquet(path), "doc_id", tiles=tiles).drop("n_words")
+    return _number(merged, ["first_word"], "entity_no")
+
+
+def mask_by_chunk_documents(spark, root):
+    """Hybrid masking, the texts' chunks tagged as rows that are dealt over tasks."""
+    texts = tables.documents(spark, root)
+    tagged = with_entities_by_chunk(texts, "doc_id", load=load_failing)
+    found = detections(F.col("text"), F.col("entities"))
+    return tagged.select("doc_id", "ml_errors", mask_spans(F.col("text"), found).alias("masked"))
+
+
 def filter_confidence_documents(spark, root):
     kept = filter_located(filter_confidence(_entities()))
     return _rows(_tagged(spark, root), "doc_id", kept, "entity_no")
@@ -599,6 +655,10 @@ _QUERIES = (
     fill_positions_documents,
     map_entity_documents,
     merge_entities_documents,
+    token_rows_documents,
+    join_subword_rows_documents,
+    merge_entity_rows_documents,
+    mask_by_chunk_documents,
     filter_confidence_documents,
     filter_confidence_hybrid_documents,
     filter_valid_documents,
