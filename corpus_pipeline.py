@@ -6,7 +6,7 @@ Parquet and read again as the next one's ``docs``.  All but the last return the
 
 Null, empty and long texts, repeated rows, clashing names and empty tables: as the operators
 say.  No stage drops a document for a null text or id except the quality rules, which reject
-texts of fewer than twenty words.
+texts of fewer than twenty words, and line dedup, which drops a document left without a word.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import staged, table
+from veilspark.llm.base import SPACE, staged, table
 from veilspark.llm.decontaminate import remove_contaminated
 from veilspark.llm.lines import remove_repeated_lines
 from veilspark.llm.mixing import fit_mixture, with_rates
@@ -31,9 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one has; ``n_chars`` follows."""
+    """Documents without the lines that an earlier one has; ``n_chars`` follows.
+
+    A document of which no word is left had nothing of its own, and goes.
+    """
     out = remove_repeated_lines(docs)
     changed = F.col("_lines_removed") > 0
+    out = out.where(~changed | F.col("text").rlike(f"[^{SPACE}]"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
