@@ -30,24 +30,26 @@ def split(text):
 
 
 def brute_lines(texts, least=5):
-    """Removed lines: an equal one earlier, or an earlier distinct one within one edit."""
+    """Removed lines: an equal one earlier, or an earlier distinct one within one edit, if both
+    have ``least`` words."""
     first = {}
     places = [(d, i, tuple(split(x))) for d in sorted(texts) for i, x in enumerate((texts[d] or "").split("\n"))]
     for d, i, w in places:
-        if len(w) >= least:
+        if w:
             first.setdefault(w, (d, i))
     by_gap = {}
-    for w in first:
+    long = [w for w in first if len(w) >= least]
+    for w in long:
         for k in range(len(w)):
             by_gap.setdefault((w[:k], w[k + 1 :]), []).append(w)
     near = {w: set() for w in first}
     for group in by_gap.values():
         for a, b in itertools.permutations(group, 2):
             near[a].add(b)
-    for w in first:
+    for w in long:
         for k in range(len(w)):
             shorter = w[:k] + w[k + 1 :]
-            if shorter in first:
+            if shorter in first and len(shorter) >= least:
                 near[w].add(shorter)
                 near[shorter].add(w)
     gone = {w for w in first if any(first[v] < first[w] for v in near[w])}
@@ -86,6 +88,10 @@ def test_lines_planted(spark):
     out = remove_repeated_lines(df)
     assert out.columns == [*df.columns, "_lines_removed"]
     check_lines(texts, [(x.doc_id, x.text, x._lines_removed) for x in out.collect()])
+    short = {1: "All rights reserved.", 2: "x\nall  rights RESERVED.\nall rights reserved", 3: "x y\n日本語。", 4: "日本語。\nx\n \n"}
+    out = remove_repeated_lines(spark.createDataFrame(list(short.items()), "doc_id long, text string")).collect()
+    check_lines(short, [(x.doc_id, x.text, x._lines_removed) for x in out])
+    assert {x.doc_id: x.text for x in out} == {1: short[1], 2: "x\nall rights reserved", 3: short[3], 4: " \n"}
     twice = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d f")], "doc_id long, text string")
     assert sorted((x.doc_id or 0, x._lines_removed) for x in remove_repeated_lines(twice).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert remove_repeated_lines(df.limit(0)).count() == 0
@@ -131,10 +137,16 @@ def test_leak_query_and_planted(spark):
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "q1 q2")], "item_id long, text string")
     found = contaminated(docs, bench).collect()
-    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(d, i) for d in (0, 1, 5, 7) for i in (1, 2)]
-    assert all(len(r.tiles) == 2 for r in found if r.doc_id == 1)
-    assert sorted(r.doc_id for r in remove_contaminated(docs, bench).collect()) == [2, 3, 4, 6, 8]
-    assert contaminated(docs, bench, filter_bits=15).count() == 8
+    whole = [(d, 4) for d in (0, 1, 2, 5, 7, 8)]  # the item of two words stands there as a whole
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted([(d, i) for d in (0, 1, 5, 7) for i in (1, 2)] + whole)
+    assert all(len(r.tiles) == 2 for r in found if r.doc_id == 1 and r.item_id != 4)
+    assert all((r.covered, r.coverage) == (2, 1.0) for r in found if r.item_id == 4)
+    assert sorted(r.doc_id for r in remove_contaminated(docs, bench).collect()) == [3, 4, 6]
+    assert contaminated(docs, bench, filter_bits=15).count() == 14
+    few = spark.createDataFrame([(1, "two plus two answer"), (2, "four"), (3, "five words are a seed")], "item_id long, text string")
+    texts = ["so Two plus  two\nanswer it", "two plus two", "fourteen", "is four.", "is four", "five words are a seed", "words are a seed"]
+    docs_of = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs_of, few).collect()) == [(0, 1), (4, 2), (5, 3)]
     assert contaminated(docs.limit(0), bench).count() == 0 == contaminated(docs, bench.limit(0)).count()
 
 
@@ -216,6 +228,8 @@ def test_pipeline(spark):
     kept = {d: before[d] for d in before if judged[d]}
     gone = brute_lines(kept)
     left = {d: "\n".join(x for i, x in enumerate(kept[d].split("\n")) if i not in set(gone[d])) for d in kept}
+    left = {d: t for d, t in left.items() if t.split() or not gone[d]}  # nothing of its own: gone as a whole
+    assert len(left) < len(kept)
     from test_substrings_ngrams import brute_components
 
     component = brute_components(left, 5, Fraction(4, 5))

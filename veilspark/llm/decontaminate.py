@@ -2,7 +2,8 @@
 
 A document is contaminated by a benchmark item if tiles, runs of at least ``seed`` words that
 both have in the same order and that do not overlap, cover the share ``coverage`` of the
-item's words.  The tiles may stand in any order, so reordered passages are caught.
+item's words.  The tiles may stand in any order, so reordered passages are caught.  An item of
+fewer than ``seed`` words is found where it stands as a whole.
 
 1. The runs of ``seed`` words of the items set bits in a bitmap of a fixed size, whatever the
    number of items.  Documents keep the stretches whose runs hit it, with false hits.
@@ -11,7 +12,7 @@ item's words.  The tiles may stand in any order, so reordered passages are caugh
 3. Each pair is tiled: running Karp-Rabin hashes of a falling length find the longest
    matches between words not yet marked, which are marked first.
 
-Defined cases: a null text has no words; an item of fewer than ``seed`` words is never found;
+Defined cases: a null text has no words; an item without words is never found;
 repeated items are reported each; rows of one document id are one document, its stretches
 taken together; a null document or item id takes part like any other; empty tables give no
 rows; other columns are ignored, or kept by ``remove_contaminated``.
@@ -50,15 +51,22 @@ def _item_words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Rec
         h = words.hashes
         runs, inside = W.windows(words, seed, h)
         at = np.flatnonzero(inside)
-        bounds = np.searchsorted(at, words.first)
+        runs = runs[at]
+        for n in range(1, seed):  # an item of n words is one run
+            whole = words.first[:-1][words.counts() == n]
+            at, runs = np.append(at, whole), np.append(runs, W.windows(words, n, h)[0][whole])
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], words.first)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), _lists(words.first, h), _lists(bounds, runs[at])], names=["item_id", "words", "runs"]
+            [batch.column(0), _lists(words.first, h), _lists(bounds, runs[order])], names=["item_id", "words", "runs"]
         )
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], seed: int, bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of each document whose runs hit the bitmap: first word, words, runs."""
-    for batch, texts in W.slices(batches):
+def _stretches(
+    batches: Iterator[pa.RecordBatch], lengths: list[int], bitmap: np.ndarray, bits: int
+) -> Iterator[pa.RecordBatch]:
+    """Stretches of each document whose runs of a length hit the bitmap: first word, words, runs."""
+    for (batch, texts), seed in ((part, n) for part in W.slices(batches) for n in lengths):
         words = W.split_words(texts, lower=True)
         h = words.hashes
         runs, inside = W.windows(words, seed, h)
@@ -151,7 +159,7 @@ def _tile(batches: Iterator[pa.RecordBatch], seed: int, coverage: Fraction) -> I
                 doc.append(np.append(found, W.mix(np.array([n], np.uint64), 99)))
                 places.append(s["start"].as_py() + np.arange(len(found) + 1))
             doc, places = np.concatenate(doc), np.concatenate(places)
-            found = tiles(item, doc, seed)
+            found = tiles(item, doc, min(seed, len(item)))
             covered = sum(n for _, _, n in found)
             if covered * coverage.denominator >= coverage.numerator * len(item):
                 keep.append(k)
@@ -194,10 +202,12 @@ def contaminated(
     items = staged(items, "items")
     runs = items.select("item", F.size("words").alias("n"), F.posexplode("runs").alias("at", "run"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(runs, filter_bits))
+    short = items.where((F.size("words") < seed) & (F.size("words") > 0)).select(F.size("words").alias("n")).distinct()
+    lengths = [seed, *sorted(r["n"] for r in short.collect())]  # as many as the seed has words, at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stretches = staged(
         rows.mapInArrow(
-            lambda b: _stretches(b, seed, bitmap.value, filter_bits),
+            lambda b: _stretches(b, lengths, bitmap.value, filter_bits),
             "doc_id long, start int, words array<long>, runs array<long>",
         ),
         "stretches",

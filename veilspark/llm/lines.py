@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join over the words of a line.
 
 Lines are compared as sequences of lower-cased words.  A line is removed if an earlier line
-(smaller document id, or same document and higher up) is at an edit distance of at most one:
-the same words, or one word more, less or exchanged.  Lines of fewer than ``least`` words are
-never removed nor compared.
+(smaller document id, or same document and higher up) has the same words, or is at an edit
+distance of one: one word more, less or exchanged.  One edit is looked for between lines of
+``least`` words or more, as in a shorter one it is more than a fifth of the line; equality
+between all lines with a word.
 
 1. Equal lines become one, at its first place.
 2. Two lines one edit apart share their first or their last half.  Halves are hashed and
@@ -60,21 +61,20 @@ def _line_words(texts: pa.Array) -> tuple[W.Words, np.ndarray, np.ndarray, np.nd
 
 
 def _halves(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Each line of ``least`` words or more: place, hash, hashes of its halves."""
+    """Each line with a word: place, hash and, from ``least`` words on, hashes of its halves."""
     for batch, texts in W.slices(batches):
         ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         words, doc, number, first = _line_words(texts)
         h = words.hashes
         a, b = first[:-1], first[1:]
-        long = b - a >= least
-        doc, number, a, b = doc[long], number[long], a[long], b[long]
         n = b - a
+        long = n >= least
         hash_of = lambda x, y, salt: W.mix(W.span_hashes(h, x, y) + (y - x).astype(np.uint64), salt)
         # lengths that a partner of n - 1, n or n + 1 words has in common with this line
         heads = [hash_of(a, a + k, 1) | np.uint64(1) for k in (n // 2, (n + 1) // 2)]
         tails = [hash_of(b - k, b, 2) & ~np.uint64(1) for k in (n // 2, (n - 1) // 2)]
-        keys = np.stack([*heads, *tails], axis=1) if len(a) else np.zeros((0, 4), np.uint64)
-        offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * 4)
+        keys = np.stack([*heads, *tails], axis=1)[long] if len(a) else np.zeros((0, 4), np.uint64)
+        offsets = pa.array(np.append(0, np.cumsum(long * 4)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[doc]), pa.array(number, pa.int32()), W.signed(hash_of(a, b, 0)),
              pa.ListArray.from_arrays(offsets, W.signed(keys.ravel()))],
