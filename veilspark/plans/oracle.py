@@ -623,6 +623,7 @@ def oracle() -> dict[str, str]:
         "latest_mappings_cascade_messages": cascade_mapping_sql(),
         "latest_mappings_spans_messages": SPAN_MAPPINGS,
         "mapping_store_messages": SPAN_MAPPINGS,
+        "mapping_log_messages": SPAN_MAPPINGS,
         "write_masked_documents": masked_sql("documents", "SELECT id AS doc_id, masked AS text FROM masked"),
         "mask_stream_documents": mask_documents,
         "alert_stream_documents": f"SELECT doc_id FROM documents WHERE {any_match('text')}",

@@ -54,6 +54,7 @@ from ..operators.token_tables import (
     with_entities_by_chunk,
 )
 from ..session import checkpoint_root
+from ..sources.mapping_log import compact_logged, load_logged, log_batch
 from ..sources.mapping_store import load_mappings, save_mappings
 from ..sources.messages import read_message_stream, write_masked
 from ..streaming.settled import (
@@ -514,6 +515,23 @@ def mapping_store_messages(spark, root):
     return load_mappings(spark, path)
 
 
+def mapping_log_messages(spark, root):
+    """The messages' mappings in four commits, the second written twice, with a rewrite between."""
+    path = _scratch(spark, "mapping-log")
+    found = detect_pii(tables.messages(spark, root))
+    rows = span_mapping_rows(found, "scope", F.col("k"))
+    end = (tables.messages(spark, root).agg(F.max("k")).first()[0] or 0) + 1
+    for batch in range(4):
+        low, high = end * batch // 4, end * (batch + 1) // 4
+        part = latest_mappings(rows.where(F.col("written._message").between(low, high - 1)))
+        log_batch(part, path, batch)
+        if batch == 1:
+            log_batch(part, path, batch)
+        if batch == 2:
+            compact_logged(spark, path)
+    return load_logged(spark, path)
+
+
 def write_masked_documents(spark, root):
     path = _scratch(spark, "masked")
     write_masked(mask_messages(tables.documents(spark, root)), path)
@@ -672,6 +690,7 @@ _QUERIES = (
     latest_mappings_cascade_messages,
     latest_mappings_spans_messages,
     mapping_store_messages,
+    mapping_log_messages,
     write_masked_documents,
     mask_stream_documents,
     alert_stream_documents,

@@ -13,6 +13,7 @@ from ..operators.mappings import latest_mappings, span_mapping_rows
 from ..operators.mask import mask_columns, mask_messages
 from ..operators.tagging import Tagger
 from ..session import checkpoint_root
+from ..sources.mapping_log import compact_logged, log_batch
 from ..sources.mapping_store import compact_mappings, write_batch
 
 FLUSH_INTERVAL = "5 seconds"
@@ -64,24 +65,34 @@ def flush_mappings(
     checkpoint: str | None = None,
     interval: str | None = FLUSH_INTERVAL,
     compact_every: int | None = None,
+    logged: bool = False,
 ) -> StreamingQuery:
     """Keep a mapping store up to date with what span masking replaces in a stream.
 
     The state is one value per scope and mask.  Each trigger writes only the entries that
     changed, as a batch of its own, and nothing if none did; a trigger run again after a
     failure replaces its batch.  With ``compact_every``, the store is rewritten as one folder
-    after that many triggers; no other stream may be writing to it then.
+    after that many triggers; no other stream may be writing to it then.  With ``logged``, the
+    store is one with a commit log, which other streams may write to and rewrite at any time.
     """
     location = checkpoint or f"{checkpoint_root(messages.sparkSession)}/streams/{name}"
     run = "run" + hashlib.sha256(location.encode()).hexdigest()[:16]
     found = mask_messages(nonblank(messages, text), text, load).drop("masked")
     state = latest_mappings(span_mapping_rows(found, scope, order))
 
+    def flush_logged(changed: DataFrame, batch: int) -> None:
+        log_batch(changed, path, batch, run)
+        if compact_every and batch % compact_every == compact_every - 1:
+            compact_logged(changed.sparkSession, path)
+
     def flush(changed: DataFrame, batch: int) -> None:
         write_batch(changed, path, batch, keep_empty=False, run=run)
         if compact_every and batch % compact_every == compact_every - 1:
             compact_mappings(changed.sparkSession, path)
 
     return (
-        _writer(state, name, location, interval).outputMode("update").foreachBatch(flush).start()
+        _writer(state, name, location, interval)
+        .outputMode("update")
+        .foreachBatch(flush_logged if logged else flush)
+        .start()
     )
