@@ -28,6 +28,7 @@ from .operators.token_tables import (
     token_rows,
     with_entities_by_chunk,
 )
+from .operators.utf16 import mask_messages_utf16
 from .session import build_session, checkpoint_root
 from .sources.mapping_log import compact_logged, load_logged, log_batch, log_whole, vacuum_logged
 from .sources.mapping_store import compact_mappings, load_mappings, save_mappings

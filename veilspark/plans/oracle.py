@@ -492,6 +492,18 @@ def tag_errors_sql() -> str:
     )
 
 
+def utf16_sql() -> str:
+    """Spans over the messages with fillers behind characters of two units."""
+    smile, script, filler = "chr(128512)", "chr(119987)", "chr(65535)"
+    around = f"repeat({smile} || {filler}, CAST(id % 4 AS INTEGER)) || {script} || {filler} || ' ' || text || ' ' || {smile} || {filler}"
+    body = f"SELECT id, {around} AS text FROM ({SOURCES['messages'][1]})"
+    return (
+        f"WITH RECURSIVE {hits(body)}, {RESOLVE}, {MASK} SELECT m.id AS k, replace(m.masked, {filler}, '') AS masked, "
+        "coalesce(p.places, '') AS places FROM masked m LEFT JOIN (SELECT id, string_agg(CAST(\"index\" AS VARCHAR), ',' "
+        "ORDER BY ordinal) AS places FROM det GROUP BY id) p ON p.id = m.id"
+    )
+
+
 def oracle() -> dict[str, str]:
     documents, pages = SOURCES["documents"][1], SOURCES["pages"][1]
     text_pages = f"SELECT page_id AS id, {text_content_sql('html')} AS text FROM pages"
@@ -629,6 +641,7 @@ def oracle() -> dict[str, str]:
         "alert_stream_documents": f"SELECT doc_id FROM documents WHERE {any_match('text')}",
         "flush_mappings_messages": SPAN_MAPPINGS,
         **settled_sql(),
+        "mask_utf16_messages": utf16_sql(),
     }
     # the same over rows
     found["token_rows_documents"] = found["locate_tokens_documents"]

@@ -53,6 +53,7 @@ from ..operators.token_tables import (
     token_rows,
     with_entities_by_chunk,
 )
+from ..operators.utf16 import mask_messages_utf16
 from ..session import checkpoint_root
 from ..sources.mapping_log import compact_logged, load_logged, log_batch
 from ..sources.mapping_store import load_mappings, save_mappings
@@ -169,6 +170,20 @@ def mask_spans_documents(spark, root):
     return mask_messages(tables.documents(spark, root)).select("doc_id", "masked")
 
 
+def _astral(spark, root):
+    """The messages with characters of two UTF-16 units around them."""
+    smile, script = F.lit("\U0001F600"), F.lit("\U0001D4B3")
+    around = F.concat(F.repeat(smile, (F.col("k") % 4).cast("int")), script, F.lit(" "), "text", F.lit(" "), smile)
+    return tables.messages(spark, root).select("k", around.alias("text"))
+
+
+def mask_utf16_messages(spark, root):
+    masked = mask_messages_utf16(_astral(spark, root))
+    return masked.select("k", "masked", F.transform("detections", lambda d: d["index"]).alias("p")).select(
+        "k", "masked", F.array_join("p", ",").alias("places")
+    )
+
+
 def mask_cascade_messages(spark, root):
     return mask_columns(tables.messages(spark, root), ["text"]).select("k", "text")
 
@@ -643,6 +658,7 @@ _QUERIES = (
     resolve_overlaps_documents,
     mask_spans_messages,
     mask_spans_documents,
+    mask_utf16_messages,
     mask_cascade_messages,
     mask_cascade_documents,
     mask_columns_pages,
