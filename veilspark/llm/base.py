@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,16 @@ def staged(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFr
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries removed now.
+
+    Spark removes them once the driver has collected the plans they belong to, which it has no
+    reason to do between the steps of a query that needs little of its memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Remove the folder behind a staged table."""
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

@@ -28,7 +28,8 @@ token as its number among them.  Blocks are written once; counts, statistics and
 them as numpy arrays.  Only distinct words of a block are shuffled, to be counted and to bring
 their counts back, so a word in every document makes one row per block.  Pairs of words are
 treated alike: a row per distinct pair and block, under a 64-bit hash; what comes back is the
-count of those that other blocks have as well.
+count of those that other blocks have as well, packed.  This goes over the blocks once for every
+range of hashes, so that the rows on disk at a time are those of one range.
 
 Defined cases: a null text is empty and has its end as the only token; a null id counts as
 training text; rows are independent, repeated ones count and score alike; without training
@@ -49,12 +50,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import staged
+from .base import release, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 5 << 20
 PAIR_ROWS = 1 << 16
+RANGES = 6  # of pair hashes, one after another
 HEADS = TAILS = 64
 CLASSES = HEADS + TAILS
 BEFORE = CLASSES + 1  # and the start of a text
@@ -71,6 +73,8 @@ _FEATURES = np.array([
     (0, 1 + b, 1 + BEFORE + s, 1 + BEFORE + COARSE + zlib.crc32(b"%d|%d" % (b, s)) % HASHED)
     for b in range(BEFORE) for s in range(COARSE)
 ])
+_FIRST = np.array([i * (1 << 64) // RANGES for i in range(RANGES)], np.uint64)  # hashes of each range
+_LAST = np.array([(i + 1) * (1 << 64) // RANGES - 1 for i in range(RANGES)], np.uint64)
 N_FEATURES = 1 + BEFORE + COARSE + HASHED
 BLOCK = (
     "block long, ids array<long>, held array<boolean>, sizes array<int>, words array<long>, "
@@ -110,13 +114,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     """One row of the written blocks as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch, k: int, heads: np.ndarray):
+    def __init__(self, batch: pa.RecordBatch, k: int, heads: np.ndarray | None):
+        """Without ``heads``, no classes: words and their pairs only."""
         take = lambda name, t: batch.column(name)[k].values.to_numpy(zero_copy_only=False).astype(t)
         self.held, self.sizes = take("held", bool), take("sizes", np.int64)
         self.words = words = np.ascontiguousarray(take("words", np.int64)).view(np.uint64)
         total = int(self.sizes.sum())
         raw = pa.decompress(batch.column("codes")[k].as_py(), total * 4, "zstd", asbytes=True)
         self.codes = np.frombuffer(raw, np.int32)
+        self.docs = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = first = np.cumsum(self.sizes) - self.sizes
+        if heads is None:
+            return
         order = np.argsort(heads)
         at = np.searchsorted(heads[order], words)
         at[at == len(heads)] = 0
@@ -126,7 +135,6 @@ class _Block:
             is_head = heads[order][at] == words
             self.of_word = np.where(is_head, order[at], self.of_word)
         self.classes = self.of_word[self.codes]
-        first = np.cumsum(self.sizes) - self.sizes
         one = np.empty(total, np.int64)
         one[1:] = self.classes[:-1]
         one[first] = CLASSES
@@ -136,54 +144,77 @@ class _Block:
         second = first[self.sizes > 1] + 1
         two[second] = CLASSES
         self.histories = one * COARSE + _COARSE_OF[two]
-        self.docs = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.first = first
+
+    def _pair_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each token with the word before; then, of the tokens with two before (their
+        places are the second array), with the word two before; then of that word itself."""
+        h = self.words[self.codes]
+        place = np.arange(len(h)) - self.first[self.docs]
+        far = np.flatnonzero(place > 1)
+        salted = W.mix(self.words, 6), W.mix(self.words, 8), W.mix(self.words, 10)
+        ahead = np.empty_like(h)
+        ahead[1:] = salted[0][self.codes[:-1]]
+        ahead[self.first] = W.mix(np.array([START_HASH], np.uint64), 6)[0]
+        two = self.codes[far - 2]
+        return np.concatenate((W.mix(ahead + h, 7), W.mix(salted[1][two] + h[far], 9), salted[2][two])), far
+
+    def pairs_in(self, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs with a hash in the range ``part``, sorted, and their training counts."""
+        keys, far = self._pair_keys()
+        use = ~self.held[self.docs]
+        use = np.concatenate((use, use[far], use[far]))
+        here = (keys >= _FIRST[part]) & (keys <= _LAST[part])
+        distinct, at = np.unique(keys[here], return_inverse=True)
+        return distinct, np.bincount(at[use[here]], minlength=len(distinct))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs as hashes, how often each is in training texts, and of each token its
         number among them: with the word before, with the word two before, and of that word
         itself.  The last two are -1 where there is no such word."""
-        h = self.words[self.codes]
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[self.first] = START_HASH
-        place = np.arange(len(h)) - self.first[self.docs]
-        far = np.flatnonzero(place > 1)
-        keys = np.concatenate((
-            W.mix(W.mix(before, 6) + h, 7), W.mix(W.mix(h[far - 2], 8) + h[far], 9), W.mix(h[far - 2], 10),
-        ))
+        keys, far = self._pair_keys()
+        n = len(self.codes)
         use = ~self.held[self.docs]
         distinct, at = np.unique(keys, return_inverse=True)
         trained = np.bincount(at[np.concatenate((use, use[far], use[far]))], minlength=len(distinct))
-        skip, alone = np.full(len(h), -1), np.full(len(h), -1)
-        skip[far], alone[far] = at[len(h) : len(h) + len(far)], at[len(h) + len(far) :]
-        return distinct, trained, at[: len(h)], skip, alone
+        skip, alone = np.full(n, -1), np.full(n, -1)
+        skip[far], alone[far] = at[n : n + len(far)], at[n + len(far) :]
+        return distinct, trained, at[:n], skip, alone
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block and distinct pair: its number in the block, hash and training count."""
-    none = np.zeros(0, np.uint64)
+def _pairs(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """A row per block and distinct pair of a range: its number there, hash and training count."""
     for batch in batches:
         for k in range(batch.num_rows):
-            keys, trained = _Block(batch, k, none).pairs()[:2]
+            keys, trained = _Block(batch, k, None).pairs_in(part)
             for low in range(0, len(keys), PAIR_ROWS):
-                part = slice(low, low + PAIR_ROWS)
-                n = len(keys[part])
+                rows = slice(low, low + PAIR_ROWS)
+                n = len(keys[rows])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, batch.column("block")[k].as_py())), pa.array(np.arange(low, low + n, dtype=np.int32)),
-                     W.signed(keys[part]), pa.array(trained[part].astype(np.int32))],
+                     W.signed(keys[rows]), pa.array(trained[rows].astype(np.int32))],
                     names=["block", "at", "key", "c"],
                 )
 
 
+def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending numbers as differences, and counts."""
+    raw = np.diff(at, prepend=np.int32(0)).astype(np.int32).tobytes() + n.astype(np.int64).tobytes()
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(value: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(value, size * 12, "zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(raw, np.int32, size), dtype=np.int64), np.frombuffer(raw, np.int64, size, size * 4)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of ``block`` as one row per block: numbers and counts."""
     held, at, n = None, [], []
 
     def done() -> pa.RecordBatch:
-        raw = np.concatenate(at).astype(np.int32).tobytes() + np.concatenate(n).astype(np.int64).tobytes()
+        packed = _packed(np.concatenate(at).astype(np.int32), np.concatenate(n))
         return pa.RecordBatch.from_arrays(
-            [pa.array([held], pa.int64()), pa.array([sum(map(len, at))], pa.int32()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())],
+            [pa.array([held], pa.int64()), pa.array([sum(map(len, at))], pa.int32()), pa.array([packed], pa.binary())],
             names=["block", "n_pairs", "pairs"],
         )
 
@@ -200,14 +231,25 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _pair_counts(blocks: DataFrame) -> DataFrame:
+def _pairs_of_range(blocks: DataFrame, part: int) -> DataFrame:
     """``block``, ``n_pairs``, ``pairs``: training counts of the pairs that other blocks have as well."""
-    rows = blocks.drop("ids", "trained").mapInArrow(_pairs, "block long, at int, key long, c int")
+    words = blocks.select("block", "held", "sizes", "words", "codes")
+    rows = words.mapInArrow(lambda b: _pairs(b, part), "block long, at int, key long, c int")
     met = rows.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where("n > c")
     ordered = met.select("block", "at", "n").repartition("block").sortWithinPartitions("block", "at")
     return ordered.mapInArrow(_gather, "block long, n_pairs int, pairs binary")
 
 
+def _pair_counts(blocks: DataFrame) -> DataFrame:
+    """Per block, an entry for each range of hashes: ``part``, ``n_pairs``, ``pairs``."""
+    found = None
+    for part in range(RANGES):
+        one = staged(_pairs_of_range(blocks, part), "lm-pairs").withColumn("part", F.lit(part))
+        release(blocks.sparkSession)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("block").agg(F.collect_list(F.struct("part", "n_pairs", "pairs")).alias("ranges"))
+
+
 def _count(batches: Iterator[pa.RecordBatch], heads: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How often each class follows each history in the training texts, one row per history."""
     total = np.zeros((HISTORIES, CLASSES), np.int64)
@@ -316,6 +358,7 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
             seen[tail] = r["c"]
     table = blocks.mapInArrow(lambda b: _count(b, heads), "history int, counts binary")
     table = staged(table.repartition("history").mapInArrow(_add, "history int, counts binary"), "lm-histories")
+    release(spark)
     weights = fit_weights(table, seen) if n else np.zeros((N_FEATURES, CLASSES))
     model = spark.sparkContext.broadcast((weights.astype(np.float32), heads, classes))
     known = (
@@ -358,11 +401,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple, n: int, v: int) -> I
 
 def _with_pairs(block: _Block, batch: pa.RecordBatch, k: int, c: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Logarithms of P of each token, from those of P0 (``given``) and the counts of words and pairs."""
-    _, pairs, with_one, with_two, alone = block.pairs()
-    size = batch.column("n_pairs")[k].as_py()
-    if size:
-        raw = pa.decompress(batch.column("pairs")[k].as_py(), size * 12, "zstd", asbytes=True)
-        pairs[np.frombuffer(raw, np.int32, size)] = np.frombuffer(raw, np.int64, size, size * 4)
+    keys, pairs, with_one, with_two, alone = block.pairs()
+    starts = np.searchsorted(keys, _FIRST)
+    for found in batch.column("ranges")[k].as_py() or ():
+        at, n = _unpacked(found["pairs"], found["n_pairs"])
+        pairs[starts[found["part"]] + at] = n
     p = 10**given
     far = with_two >= 0
     p[far] = _mixed(pairs[with_two[far]], pairs[alone[far]], p[far])
