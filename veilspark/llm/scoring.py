@@ -27,9 +27,11 @@ Documents are packed into blocks of some megabytes: distinct words as 64-bit has
 token as its number among them.  Blocks are written once; counts, statistics and scores read
 them as numpy arrays.  Only distinct words of a block are shuffled, to be counted and to bring
 their counts back, so a word in every document makes one row per block.  Pairs of words are
-treated alike: a row per distinct pair and block, under a 64-bit hash; what comes back is the
-count of those that other blocks have as well, packed.  This goes over the blocks once for every
-range of hashes, so that the rows on disk at a time are those of one range.
+counted under 64-bit hashes: a block sends the sorted hashes of its distinct pairs, packed as
+differences, to as many buckets of hashes as a shuffle has parts, and gets back what all blocks
+have of them, in the same order.  A pair in every block is an entry per block among others.  This
+goes over the blocks once for every range of hashes, so that what is on disk at a time is that
+of one range.
 
 Defined cases: a null text is empty and has its end as the only token; a null id counts as
 training text; rows are independent, repeated ones count and score alike; without training
@@ -46,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -55,8 +57,7 @@ from .base import release, staged
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 5 << 20
-PAIR_ROWS = 1 << 16
-RANGES = 6  # of pair hashes, one after another
+RANGES = 3  # of pair hashes, one after another
 HEADS = TAILS = 64
 CLASSES = HEADS + TAILS
 BEFORE = CLASSES + 1  # and the start of a text
@@ -167,87 +168,97 @@ class _Block:
         distinct, at = np.unique(keys[here], return_inverse=True)
         return distinct, np.bincount(at[use[here]], minlength=len(distinct))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as hashes, how often each is in training texts, and of each token its
-        number among them: with the word before, with the word two before, and of that word
-        itself.  The last two are -1 where there is no such word."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs as hashes, and of each token its number among them: with the word
+        before, with the word two before, and of that word itself.  The last two are -1 where
+        there is no such word."""
         keys, far = self._pair_keys()
         n = len(self.codes)
-        use = ~self.held[self.docs]
         distinct, at = np.unique(keys, return_inverse=True)
-        trained = np.bincount(at[np.concatenate((use, use[far], use[far]))], minlength=len(distinct))
         skip, alone = np.full(n, -1), np.full(n, -1)
         skip[far], alone[far] = at[n : n + len(far)], at[n + len(far) :]
-        return distinct, trained, at[:n], skip, alone
+        return distinct, at[:n], skip, alone
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-    """A row per block and distinct pair of a range: its number there, hash and training count."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            keys, trained = _Block(batch, k, None).pairs_in(part)
-            for low in range(0, len(keys), PAIR_ROWS):
-                rows = slice(low, low + PAIR_ROWS)
-                n = len(keys[rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("block")[k].as_py())), pa.array(np.arange(low, low + n, dtype=np.int32)),
-                     W.signed(keys[rows]), pa.array(trained[rows].astype(np.int32))],
-                    names=["block", "at", "key", "c"],
-                )
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte of equal weight, so that the high ones vanish."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending numbers as differences, and counts."""
-    raw = np.diff(at, prepend=np.int32(0)).astype(np.int32).tobytes() + n.astype(np.int64).tobytes()
-    return pa.compress(raw, "zstd", asbytes=True)
+def _unpack_keys(value: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(value, n * 8, "zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _unpacked(value: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = pa.decompress(value, size * 12, "zstd", asbytes=True)
-    return np.cumsum(np.frombuffer(raw, np.int32, size), dtype=np.int64), np.frombuffer(raw, np.int64, size, size * 4)
+def _pack_counts(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``block`` as one row per block: numbers and counts."""
-    held, at, n = None, [], []
+def _unpack_counts(value: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(value, n * 8, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").ravel()
 
-    def done() -> pa.RecordBatch:
-        packed = _packed(np.concatenate(at).astype(np.int32), np.concatenate(n))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([held], pa.int64()), pa.array([sum(map(len, at))], pa.int32()), pa.array([packed], pa.binary())],
-            names=["block", "n_pairs", "pairs"],
-        )
 
+def _pairs(batches: Iterator[pa.RecordBatch], part: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per block and bucket of hashes in a range: its distinct pairs and training counts."""
+    low, high = int(_FIRST[part]), int(_LAST[part])
+    edges = np.array([low + (high - low) * i // buckets for i in range(1, buckets)], np.uint64)
     for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        for part in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1) if len(blocks) else ():
-            if held is not None and blocks[part[0]] != held:
-                yield done()
-                at, n = [], []
-            held = int(blocks[part[0]])
-            at.append(batch.column("at").to_numpy()[part].astype(np.int32))
-            n.append(batch.column("n").to_numpy()[part].astype(np.int64))
-    if held is not None:
-        yield done()
-
-
-def _pairs_of_range(blocks: DataFrame, part: int) -> DataFrame:
-    """``block``, ``n_pairs``, ``pairs``: training counts of the pairs that other blocks have as well."""
-    words = blocks.select("block", "held", "sizes", "words", "codes")
-    rows = words.mapInArrow(lambda b: _pairs(b, part), "block long, at int, key long, c int")
-    met = rows.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).where("n > c")
-    ordered = met.select("block", "at", "n").repartition("block").sortWithinPartitions("block", "at")
-    return ordered.mapInArrow(_gather, "block long, n_pairs int, pairs binary")
+        for k in range(batch.num_rows):
+            keys, trained = _Block(batch, k, None).pairs_in(part)
+            bounds = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            full = [i for i in range(buckets) if bounds[i] < bounds[i + 1]]
+            cut = [slice(bounds[i], bounds[i + 1]) for i in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part * buckets + i for i in full], pa.int32()),
+                 pa.array([batch.column("block")[k].as_py()] * len(full), pa.int64()),
+                 pa.array([c.stop - c.start for c in cut], pa.int32()),
+                 pa.array([_pack_keys(keys[c]) for c in cut], pa.binary()),
+                 pa.array([_pack_counts(trained[c]) for c in cut], pa.binary())],
+                names=["bucket", "block", "n", "keys", "counts"],
+            )
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the counts of all blocks, in the order of their keys.
+
+    A task holds the packed rows of its buckets and, bucket by bucket, their keys.
+    """
+    rows: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(n).to_pylist() for n in ("bucket", "block", "n", "keys", "counts")), strict=True):
+            rows.setdefault(bucket, []).append(row)
+    for bucket in list(rows):
+        here = rows.pop(bucket)
+        sizes = [n for _, n, _, _ in here]
+        distinct, at = np.unique(np.concatenate([_unpack_keys(k, n) for _, n, k, _ in here]), return_inverse=True)
+        counts = np.concatenate([_unpack_counts(c, n) for _, n, _, c in here])
+        totals = np.zeros(len(distinct), np.int64)
+        np.add.at(totals, at, counts)
+        each = np.split(totals[at], np.cumsum(sizes)[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in here], pa.int64()), pa.array([bucket] * len(here), pa.int32()),
+             pa.array(sizes, pa.int32()), pa.array([_pack_counts(t) for t in each], pa.binary())],
+            names=["block", "bucket", "n", "totals"],
+        )
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
-    """Per block, an entry for each range of hashes: ``part``, ``n_pairs``, ``pairs``."""
+    """Per block, in order of its distinct pairs: ``found``, packed training counts over all blocks."""
+    spark = blocks.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = blocks.select("block", "held", "sizes", "words", "codes")
     found = None
     for part in range(RANGES):
-        one = staged(_pairs_of_range(blocks, part), "lm-pairs").withColumn("part", F.lit(part))
-        release(blocks.sparkSession)
+        rows = words.mapInArrow(
+            lambda b, part=part: _pairs(b, part, buckets), "bucket int, block long, n int, keys binary, counts binary"
+        )
+        totals = rows.repartition("bucket").mapInArrow(_total, "block long, bucket int, n int, totals binary")
+        one = staged(totals, "lm-pairs")
+        release(spark)
         found = one if found is None else found.unionByName(one)
-    return found.groupBy("block").agg(F.collect_list(F.struct("part", "n_pairs", "pairs")).alias("ranges"))
+    return found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "totals"))).alias("found"))
 
 
 def _count(batches: Iterator[pa.RecordBatch], heads: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -365,6 +376,8 @@ def score_documents(docs: DataFrame, held: str = "crc32(cast(doc_id as string))
         entries.select("block", "at", "words").join(counts.select("words", "c"), "words")
         .groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("counts"))
     )
+    known = staged(known, "lm-known")
+    release(spark)
     joined = blocks.drop("trained").join(known, "block", "left").join(_pair_counts(blocks), "block", "left")
     return joined.mapInArrow(
         lambda b: _score(b, model.value, n, v),
@@ -401,11 +414,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple, n: int, v: int) -> I
 
 def _with_pairs(block: _Block, batch: pa.RecordBatch, k: int, c: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Logarithms of P of each token, from those of P0 (``given``) and the counts of words and pairs."""
-    keys, pairs, with_one, with_two, alone = block.pairs()
-    starts = np.searchsorted(keys, _FIRST)
-    for found in batch.column("ranges")[k].as_py() or ():
-        at, n = _unpacked(found["pairs"], found["n_pairs"])
-        pairs[starts[found["part"]] + at] = n
+    _, with_one, with_two, alone = block.pairs()
+    found = [_unpack_counts(f["totals"], f["n"]) for f in batch.column("found")[k].as_py()]
+    pairs = np.concatenate(found)
     p = 10**given
     far = with_two >= 0
     p[far] = _mixed(pairs[with_two[far]], pairs[alone[far]], p[far])
