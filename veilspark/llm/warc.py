@@ -9,11 +9,14 @@ others are ``revisit`` records without payload.  Files are plain text output of
 line separator is the end of a WARC record, compressed as archives usually are; uncompressed
 files can be read in splits.
 
-Reading: records are cut at the mark between two records, continuation records are grouped
-by origin, ordered by segment number and checked against the total length, and the chunked
-framing is decoded.  The writer starts a new chunk inside any ``WARC/1.1`` line of a payload,
-so a payload cannot hold that mark.  A record whose length or framing does not fit is
-reported in ``error`` and has no payload.
+Reading takes archives of any ``WARC/1.x``, compressed as one stream or one member per record.
+Files are cut where a record may begin, and each task puts the pieces together in their order
+by ``Content-Length``, so a payload may hold such a mark.  Continuation records are grouped by
+origin, ordered by segment number and checked against the total length, and the chunked framing
+is decoded.  A record whose length, framing or head does not fit, in one of its segments or as a
+whole, is reported once in ``error`` and has no payload.  Uncompressed files are read in splits; there, a mark in a payload that begins a
+split ends in an error, which the writer rules out by starting a new chunk inside any
+``WARC/1.1`` of a payload.
 
 Defined cases: a null payload is empty; pages of one id and payload are all responses if the
 id is the smallest; a null id is never the smallest, and null if it is the only one; repeated
@@ -23,6 +26,7 @@ ignored; line breaks in an address are percent-encoded.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -34,7 +38,12 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VERSION, END, MARK = "WARC/1.1", "\r\n\r\n", "\r\n\r\nWARC/1.1\r\n"
+ANY = "WARC/1."
 CHUNK_BYTES, SEGMENT_BYTES, REVISIT_BYTES = 16 << 10, 64 << 10, 100
+PIECE = (
+    "id string, type string, page_id long, url string, refers_to long, digest string, segment int, "
+    "origin string, total long, size long, block binary, fault string"
+)
 RECORD = (
     "id string, type string, page_id long, url string, refers_to long, digest string, "
     "full_length long, payload binary, error string"
@@ -152,15 +161,95 @@ def write_warc(
     parts.select(record).write.option("lineSep", END).option("compression", compression).text(path)
 
 
+def _record(data: bytes) -> tuple[dict[bytes, bytes], bytes, int | None]:
+    """Fields, what follows the head, and the length of the block; ``data`` behind ``WARC/1.``."""
+    head, _, body = data.partition(b"\r\n\r\n")
+    fields = {}
+    for line in head.split(b"\r\n")[1:]:
+        name, colon, value = line.partition(b":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    size = fields.get(b"content-length", b"")
+    known = size.isdigit() and b"warc-type" in fields
+    return fields, body, int(size) if known else None
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the pieces of files, which come in their order within a file."""
+    rows: list[tuple] = []
+    open_: list[bytes] = []  # a record that is not complete yet
+    missing = 0
+
+    def add(data: bytes, fault: str | None = None) -> None:
+        fields, body, size = _record(data)
+        if fault is None and size is None:
+            fault = "no record head"
+        elif fault is None and body[size:].strip(b"\r\n"):
+            fault = f"length {len(body)} of {size}"
+        text = lambda name: fields[name].decode("utf-8", "replace") if fields.get(name) else None
+        number = lambda value: int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
+        refers = re.fullmatch(r"<urn:page:(-?[0-9]{1,18})>", text(b"warc-refers-to") or "")
+        rows.append((
+            text(b"warc-record-id"), text(b"warc-type"), number(text(b"warc-page-id")), text(b"warc-target-uri"),
+            refers and int(refers[1]), (text(b"warc-payload-digest") or "").rpartition(":")[2],
+            number(text(b"warc-segment-number")), text(b"warc-segment-origin-id"),
+            number(text(b"warc-segment-total-length")), size, body[:size] if fault is None else None, fault,
+        ))
+
+    def given_up() -> None:
+        if open_:
+            add(b"".join(open_), f"{missing} bytes missing")
+            open_.clear()
+
+    def done() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(),
+                 pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        names = [field.split()[0] for field in PIECE.split(", ")]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    start = ANY.encode()
+    for batch in batches:
+        for value in batch.column(0):
+            data = value.as_buffer().to_pybytes()
+            if data.startswith(start):  # the first record of a file
+                given_up()
+                data = data[len(start) :]
+            if open_:
+                open_.append(END.encode() + start + data)
+                missing -= len(open_[-1])
+            elif not data.strip(b"\r\n"):
+                continue
+            else:
+                _, body, size = _record(data)
+                if size is not None and len(body) < size:
+                    open_.append(data)
+                    missing = size - len(body)
+                else:
+                    add(data)
+            if open_ and missing <= 0:
+                add(b"".join(open_))
+                open_.clear()
+        if rows:
+            yield done()
+    given_up()
+    if rows:
+        yield done()
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The payload of each content block, without its HTTP head and framing."""
     for batch in batches:
         payloads, errors, lengths = [], [], []
-        for block, total in zip(batch.column("block"), batch.column("total").to_pylist(), strict=True):
-            data = block.as_buffer().to_pybytes()
-            payload, error, length = None, None, None
+        given = (batch.column(n) for n in ("block", "total", "fault"))
+        for block, total, error in zip(*(c if i == 0 else c.to_pylist() for i, c in enumerate(given)), strict=True):
+            data = block.as_buffer().to_pybytes() if error is None else b""
+            payload, length = None, None
             head, found, body = data.partition(b"\r\n\r\n")
-            if total is not None and total != len(data):
+            if error is not None:
+                pass
+            elif total is not None and total != len(data):
                 error = f"length {len(data)} of {total}"
             elif not found:
                 error = "no HTTP head"
@@ -180,7 +269,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payloads.append(payload)
             errors.append(error)
             lengths.append(length)
-        kept = [n for n in batch.schema.names if n not in ("block", "total")]
+        kept = [n for n in batch.schema.names if n not in ("block", "total", "fault")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in kept), pa.array(lengths, pa.int64()), pa.array(payloads, pa.binary()), pa.array(errors, pa.string())],
             names=[*kept, "full_length", "payload", "error"],
@@ -206,36 +295,21 @@ def unchunk(body: bytes) -> bytes:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Response and revisit records of the archives below ``path``, columns as in ``RECORD``."""
-    lines = spark.read.option("lineSep", MARK).text(path)
-    value = F.col("value")
-    bare = F.when(F.startswith(value, F.lit(f"{VERSION}\r\n")), F.substring(value, len(VERSION) + 3, 2**31 - 1)).otherwise(value)
-    head = F.substring_index(bare, END, 1)
-    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}: *([^\r\n]*)", 1), F.lit(""))
-    size = field("Content-Length").cast("int")
-    records = lines.where(F.trim(value) != "").select(
-        field("WARC-Record-ID").alias("id"),
-        field("WARC-Type").alias("type"),
-        field("WARC-Page-ID").cast("long").alias("page_id"),
-        field("WARC-Target-URI").alias("url"),
-        F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
-        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("digest"),
-        field("WARC-Segment-Number").cast("int").alias("segment"),
-        field("WARC-Segment-Origin-ID").alias("origin"),
-        field("WARC-Segment-Total-Length").cast("long").alias("total"),
-        size.cast("long").alias("size"),
-        F.substring(bare.cast("binary"), F.octet_length(head) + 5, size).alias("block"),
-    )
+    lines = spark.read.option("lineSep", END + ANY).text(path)
+    records = lines.select(F.col("value").cast("binary")).mapInArrow(_pieces, PIECE)
     plain = ["id", "type", "page_id", "url", "refers_to", "digest"]
-    whole = records.where(F.col("segment").isNull() & F.col("type").isin("response", "revisit"))
-    whole = whole.select(*plain, F.col("size").alias("total"), "block")
+    kinds = F.col("fault").isNotNull() | F.col("type").isin("response", "revisit")
+    whole = records.where(F.col("segment").isNull() & kinds)
+    whole = whole.select(*plain, F.col("size").alias("total"), "block", "fault")
     # grouped by the record the segments belong to: no group is larger than one record
     parts = records.where(F.col("segment").isNotNull())
     joined = parts.groupBy(F.coalesce("origin", "id").alias("_origin")).agg(
         F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("segments"),
         F.max("total").alias("total"),
+        F.max("fault").alias("fault"),
         *[F.max(F.when(F.col("segment") == 1, F.col(n))).alias(n) for n in plain],
     )
     block = F.aggregate(F.col("segments.block"), F.lit(b""), lambda acc, b: F.concat(acc, b))
     # without the last segment there is no total, which no block has
-    joined = joined.select(*plain, F.coalesce("total", F.lit(-1)).alias("total"), block.alias("block"))
+    joined = joined.select(*plain, F.coalesce("total", F.lit(-1)).alias("total"), block.alias("block"), "fault")
     return whole.unionByName(joined).mapInArrow(_decode, RECORD)
