@@ -16,7 +16,7 @@ from .operators.mask import mask_changed, mask_columns, mask_messages
 from .operators.preview import preview, preview_html, resolve_decisions, send_decided
 from .operators.settings import apply_settings, latest_settings, update_settings
 from .operators.sites import SITES, site_filter
-from .operators.tagging import tag_errors, tag_tokens, token_tagger, with_entities
+from .operators.tagging import observe_tagging, tag_errors, tag_tokens, token_tagger, with_entities
 from .operators.token_tables import (
     chunk_rows,
     join_subword_rows,

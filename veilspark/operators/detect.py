@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.arrays import empty, let
@@ -42,12 +42,14 @@ def detect_pii(
     use_ml: str | None = None,
     out: str = "detections",
     errors: str = "ml_errors",
+    metrics: Observation | None = None,
 ) -> DataFrame:
     """Add the detections of ``text``.
 
     With ``load``, a tagger is run as well, and ``errors`` is the number of chunks of the text
     on which it failed; for those the patterns alone count.  ``enabled`` and ``use_ml`` name boolean columns
-    that switch detection and the tagger off per row.
+    that switch detection and the tagger off per row.  ``metrics`` gathers figures of the
+    tagging as the rows pass by, see ``observe_tagging``.
     """
     flag = F.col(enabled) if enabled else None
     if load is None:
@@ -58,7 +60,7 @@ def detect_pii(
             wanted = wanted & F.coalesce(F.col(name), F.lit(True))
     # rows that do not want the tagger show it no text, so they cost no inference
     shown = df.withColumn("_shown", F.when(wanted, F.col(text)))
-    tagged = with_entities(shown, "_shown", load, "_entities", errors)
+    tagged = with_entities(shown, "_shown", load, "_entities", errors, metrics)
     entities = F.when(F.col("_shown").isNotNull(), F.col("_entities"))
     return tagged.withColumn(out, detections(F.col(text), entities, flag)).drop(
         "_shown", "_entities"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.resolve import mask_spans
@@ -32,9 +32,10 @@ def mask_messages(
     enabled: str | None = None,
     use_ml: str | None = None,
     out: str = "masked",
+    metrics: Observation | None = None,
 ) -> DataFrame:
     """Add ``detections`` and the span-masked text."""
-    found = detect_pii(df, text, load, enabled, use_ml)
+    found = detect_pii(df, text, load, enabled, use_ml, metrics=metrics)
     return found.withColumn(out, mask_spans(F.col(text), F.col("detections")))
 
 

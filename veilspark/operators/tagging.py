@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -101,18 +101,54 @@ def tag_tokens(
     )
 
 
+def observe_tagging(
+    tagged_df: DataFrame, metrics: Observation, kinds: Sequence[str] = (), tagged: str = "tagged"
+) -> DataFrame:
+    """The same rows; figures of the tagger's answers gather in ``metrics`` as they pass by.
+
+    ``texts``, ``chunks``, ``tokens`` and ``failed`` chunks, ``failed_KIND`` for each kind of
+    error named, ``failed_other``.  They are there once an action on the rows has ended, with no
+    second run of the tagger; a task that is run again counts once.
+    """
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.coalesce(F.sum(F.aggregate(tagged, zero, lambda acc, a: acc + value(a))), zero)
+
+    def failed(condition: Callable[[Column], Column]) -> Column:
+        return total(lambda a: F.when(a["error"].isNotNull() & condition(a["error"]), 1).otherwise(0))
+
+    def kind(error: Column) -> Column:
+        return F.substring_index(error, ":", 1)
+
+    return tagged_df.observe(
+        metrics,
+        F.count(F.lit(1)).alias("texts"),
+        total(lambda a: F.lit(1)).alias("chunks"),
+        total(lambda a: F.coalesce(F.size(a["tokens"]), F.lit(0))).alias("tokens"),
+        failed(lambda e: F.lit(True)).alias("failed"),
+        *[failed(lambda e, k=k: kind(e) == k).alias(f"failed_{k}") for k in kinds],
+        failed(lambda e: ~kind(e).isin(list(kinds)) if kinds else F.lit(True)).alias("failed_other"),
+    )
+
+
 def with_entities(
     df: DataFrame,
     text: str,
     load: Callable[[], Tagger],
     out: str = "entities",
     errors: str = "ml_errors",
+    metrics: Observation | None = None,
+    kinds: Sequence[str] = (),
 ) -> DataFrame:
     """Add the entities found in ``text`` (``array<ML_DETECTION>``) by the tagger.
 
-    ``errors`` is the number of chunks of the text on which the tagger failed.
+    ``errors`` is the number of chunks of the text on which the tagger failed.  ``metrics``
+    gathers what ``observe_tagging`` does.
     """
     tagged = tag_tokens(df, text, load, "_chunks", "_tagged")
+    if metrics is not None:
+        tagged = observe_tagging(tagged, metrics, kinds, "_tagged")
     found = detect_ml(F.col(text), F.col("_chunks"), F.col("_tagged"))
     failed = F.size(F.filter("_tagged", lambda answer: answer["error"].isNotNull()))
     return tagged.withColumns({out: found, errors: F.greatest(failed, F.lit(0))}).drop(

@@ -492,6 +492,16 @@ def tag_errors_sql() -> str:
     )
 
 
+def tag_metrics_sql() -> str:
+    tokens = TOKENS.replace("FROM chunk)))", "FROM chunk WHERE NOT contains(chunk, 'q'))))", 1)
+    failed = "(SELECT count(*) FROM chunk WHERE contains(chunk, 'q'))"
+    return (
+        f"WITH RECURSIVE src AS ({SOURCES['documents'][1]}), {CHUNKS}, {tokens} SELECT (SELECT count(*) FROM src) AS texts, "
+        f"(SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM token) AS tokens, {failed} AS failed, "
+        f'{failed} AS "failed_ValueError", CAST(0 AS BIGINT) AS "failed_TypeError", CAST(0 AS BIGINT) AS failed_other'
+    )
+
+
 def utf16_sql() -> str:
     """Spans over the messages with fillers behind characters of two units."""
     smile, script, filler = "chr(128512)", "chr(119987)", "chr(65535)"
@@ -642,6 +652,7 @@ def oracle() -> dict[str, str]:
         "flush_mappings_messages": SPAN_MAPPINGS,
         **settled_sql(),
         "mask_utf16_messages": utf16_sql(),
+        "tag_metrics_documents": tag_metrics_sql(),
     }
     # the same over rows
     found["token_rows_documents"] = found["locate_tokens_documents"]

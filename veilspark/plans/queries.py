@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -43,7 +43,7 @@ from ..operators.mask import mask_changed, mask_columns, mask_messages
 from ..operators.preview import preview, preview_html, resolve_decisions, send_decided
 from ..operators.settings import apply_settings, latest_settings, update_settings
 from ..operators.sites import site_filter
-from ..operators.tagging import tag_tokens
+from ..operators.tagging import observe_tagging, tag_tokens
 from ..operators.token_tables import (
     chunk_rows,
     join_subword_rows,
@@ -498,6 +498,16 @@ def tag_errors_documents(spark, root):
     return masked.select("doc_id", "ml_errors", "masked")
 
 
+def tag_metrics_documents(spark, root):
+    """Figures of the tagging of all documents, gathered while their masked texts are written."""
+    metrics = Observation(f"tagging-{uuid.uuid4().hex}")
+    tagged = tag_tokens(tables.documents(spark, root), "text", load_failing)
+    seen = observe_tagging(tagged, metrics, ("ValueError", "TypeError"))
+    seen.select("doc_id", F.size("tagged")).write.parquet(_scratch(spark, "tag-metrics"))
+    found = metrics.get
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))
+
+
 def detect_hybrid_letters(spark, root):
     found = detect_pii(tables.letters(spark, root), "text", load_lexical)
     return _rows(found, "k", F.col("detections"), "ordinal")
@@ -682,6 +692,7 @@ _QUERIES = (
     settings_log_nation,
     mask_settings_letters,
     tag_errors_documents,
+    tag_metrics_documents,
     chunk_text_documents,
     tag_tokens_documents,
     locate_tokens_documents,
