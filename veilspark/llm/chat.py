@@ -44,21 +44,28 @@ def _unescape_role(role: Column) -> Column:
 
 
 def _merge(turns: Column) -> Column:
-    """Neighbours of one role as one struct with the array of their texts."""
+    """Neighbours of one role as one struct with the array of their texts.
 
-    def step(acc: Column, turn: Column) -> Column:
-        def put(last: Column) -> Column:
-            same = F.struct(last["role"].alias("role"), F.array_append(last["texts"], turn["text"]).alias("texts"))
-            new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-            joins = (F.size(acc) > 0) & (last["role"] == turn["role"])
-            return F.when(
-                joins, F.array_append(F.slice(acc, 1, F.size(acc) - 1), same)
-            ).otherwise(F.array_append(acc, new))
+    Runs are cut where the role changes, so a turn is copied once, however many there are.
+    """
+
+    def build(all_turns: Column) -> Column:
+        changes = F.transform(
+            all_turns, lambda t, i: F.when((i == 0) | (F.get(all_turns, i - 1)["role"] != t["role"]), i)
+        )
+
+        def run(start: Column, end: Column) -> Column:
+            texts = F.transform(F.slice(all_turns, start + 1, end - start), lambda t: t["text"])
+            return F.struct(F.get(all_turns, start)["role"].alias("role"), texts.alias("texts"))
 
-        return let(F.try_element_at(acc, F.lit(-1)), put)
+        return let(
+            F.filter(changes, lambda i: i.isNotNull()),
+            lambda at: F.transform(
+                at, lambda start, k: run(start, F.coalesce(F.get(at, k + 1), F.size(all_turns)))
+            ),
+        )
 
-    zero = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    return F.aggregate(turns, zero, step)
+    return let(turns, build)
 
 
 def _piece(text: Column, learn: Column) -> Column:
