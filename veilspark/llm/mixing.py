@@ -24,6 +24,7 @@ part like any other; all columns are kept, new ones replace old ones of the same
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,13 +47,17 @@ COPY_STEPS = 1 << 20
 
 @dataclass
 class Model:
-    """``weights``: log probabilities, domains x buckets; ``steps``: those of the descent."""
+    """``weights``: log probabilities, domains x buckets; ``steps``: those of the descent;
+    ``residual``: by how much each domain's share is off its target; ``reached``: by no more
+    than the tolerance, or there are no tokens."""
 
     domains: list[str]
     prior: np.ndarray
     weights: np.ndarray
     power: float = 1.0
     steps: list[np.ndarray] = field(default_factory=list)
+    residual: dict[str, float] = field(default_factory=dict)
+    reached: bool = False
 
     def likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens and summed log probabilities per domain of each text."""
@@ -146,7 +151,11 @@ def posteriors(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit_rates(found: DataFrame, model: Model, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-5) -> Model:
-    """Adds to ``model.steps`` until no domain's share is off by more than ``tolerance``."""
+    """Adds to ``model.steps`` until no domain's share is off by more than ``tolerance``.
+
+    Targets that ``rounds`` steps do not meet, as of a domain that no document has, are said in
+    ``model.residual`` and in a warning.
+    """
     k = len(model.domains)
     goal = np.array([targets.get(d, 0.0) for d in model.domains], float)
     goal /= goal.sum()
@@ -163,18 +172,23 @@ def fit_rates(found: DataFrame, model: Model, targets: dict[str, float], rounds:
                 total[1 + k :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "x"])
 
-    for _ in range(rounds):
+    for step in range(rounds + 1):
         gathered = found.mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         total = np.zeros(1 + k + k * k)
         for r in gathered:  # 1 + K + K*K numbers
             total[r["i"]] = r["x"]
         if total[0] == 0:
+            model.reached = True
             break
         residual = total[1 : 1 + k] / total[0] - goal
-        if np.abs(residual).max() <= tolerance:
+        model.residual = dict(zip(model.domains, residual.tolist(), strict=True))
+        model.reached = bool(np.abs(residual).max() <= tolerance)
+        if model.reached or step == rounds:
             break
         metric = total[1 + k :].reshape(k, k) / total[0] + 1e-6 * np.eye(k)
         model.steps.append(np.linalg.solve(metric, residual))
+    if not model.reached:
+        warnings.warn(f"target shares not reached, off by {model.residual}", stacklevel=2)
     return model
 
 
