@@ -57,7 +57,11 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the rate that makes the token shares of the domains the targets."""
+    """All documents with the rate that makes the token shares of the domains the targets.
+
+    ``copies`` is the rate rounded by a hash of the id.  Rows are neither dropped nor repeated:
+    whoever samples takes the rate or the copies, and no text is multiplied on disk.
+    """
     model, _ = fit_mixture(docs, table(spark, sf_dir, "labels"))
     return with_rates(docs, model)
 
