@@ -15,7 +15,8 @@ card       13 to 19 digits, check digit (Luhn)      length, separators, first di
                                                     right check digit
 phone      country code or area code form           country code, separators, whether the
                                                     area code is below 200
-ssn        3-2-4 digits                             separators
+ssn        3-2-4 digits; area not 000 or 666, no    separators, validity
+           other part all zeros
 ipv4       four numbers up to 255                   dotted form
 date       a day of 1901 to 2096; year first, or    order and separators, a valid day
            month first, or else day first
@@ -23,11 +24,26 @@ mail       local part, domain                       classes of characters, domai
 =========  =======================================  =====================================
 
 What does not pass validation stays as it is.  Values are normalised to their digits first,
-so ``4111 1111...`` and ``41111111...`` stay linked.
+so ``4111 1111...`` and ``41111111...`` stay linked, as do ``+14155550123``,
+``+1 415 555 0123`` and ``(415) 555-0123``, and ``1/2/1980`` and ``01/02/1980``.  A date with a
+one-digit day or month is written without leading zeros.
+
+A card may stand among other numbers, by one blank or hyphen: of a run of digit groups, those
+windows are looked at that have a card's grouping (4-4-4 and one to seven digits, 4-6-4, 4-6-5,
+or one group), from the left; a window without a right check digit is passed over by one
+group.  If there is none, the run as a whole may be a card.  What the cards leave of the run
+is searched for the other kinds.
+
+Not looked for: telephone numbers without code and separators, or with a trunk prefix instead of
+the country code as the same number; years of two digits, months by name; IBAN; IPv6.  Local
+parts of mail addresses that differ in case are different values.  ``back`` gives the value,
+but not the zeros in front of a day or month where both forms meet, and may take another window
+where the pseudonym's neighbours happen to make up a card with it.
 
 Defined cases: a null text stays null, with no replacement counted; empty texts stay empty;
 texts of any length are scanned in linear time; repeated rows are treated alike; an empty
-table gives no rows; other columns are kept.
+table gives no rows; other columns are kept, but those called like ``out`` and ``out_count`` are
+replaced.
 """
 
 from __future__ import annotations
@@ -49,16 +65,26 @@ MAIL = (
 )
 IPV4 = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 DATE = (
-    r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}"
-    r"|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![0-9/-]|\.[0-9])"
+    r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}"
+    r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})"
+    r"(?![0-9/-]|\.[0-9])"
 )
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (
     r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
 )
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((MAIL, DATE, SSN, IPV4, PHONE, CARD))
+# groups of digits by one blank or hyphen, 13 digits or more: where cards are
+RUN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -][0-9]++(?!@))*+"
+NUMBERS = "|".join((DATE, SSN, IPV4, PHONE))
+ANY = "|".join((MAIL, NUMBERS, RUN))
+# The country codes of one and two digits; all others have three.
+COUNTRY = (
+    r"^\+(?:[17]|2[^0-9]*[07]|3[^0-9]*[0-469]|4[^0-9]*[013-9]|5[^0-9]*[1-8]|6[^0-9]*[0-6]"
+    r"|8[^0-9]*[1246]|9[^0-9]*[0-58]|[0-9](?:[^0-9]*[0-9]){2})"
+)
+# of a run whose groups are marked: S a card, C and D the first of a card's four or three groups
+MARKED = r"S[0-9]++|C[0-9]++(?:[ -][A-Z][0-9]++){3}|D[0-9]++(?:[ -][A-Z][0-9]++){2}"
 # every match has an at sign or two digits around at most one other character
 GATE = r"@|[0-9][^0-9]?[0-9]"
 
@@ -160,7 +186,7 @@ def _card(key: str, value: Column, back: bool) -> Column:
 
 
 def _phone(key: str, value: Column, back: bool) -> Column:
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(value, COUNTRY, 0)
 
     def of(rest: Column) -> Column:
         d = _digits(rest)
@@ -186,7 +212,24 @@ def _phone(key: str, value: Column, back: bool) -> Column:
 
 
 def _ssn(key: str, value: Column, back: bool) -> Column:
-    return let(permute_digits(key, F.lit("ssn"), _digits(value), back), lambda x: _into(value, x))
+    def of(d: Column) -> Column:
+        area, group, serial = (F.substring(d, *at).cast("long") for at in ((1, 3), (4, 2), (6, 4)))
+        place = F.when(area < 666, area - 1).otherwise(area - 2)
+        size = F.lit(998), F.lit(99 * 9999)
+        done = permute(key, F.lit("ssn"), place, (group - 1) * 9999 + serial - 1, *size, back)
+
+        def shown(p: Column) -> Column:
+            parts = (
+                (F.when(p["a"] < 665, p["a"] + 1).otherwise(p["a"] + 2), 3),
+                (F.floor(p["b"] / 9999) + 1, 2),
+                (p["b"] % 9999 + 1, 4),
+            )
+            return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in parts])
+
+        valid = (area > 0) & (area != 666) & (group > 0) & (serial > 0)
+        return F.when(valid, let(done, shown)).otherwise(value)
+
+    return let(_digits(value), of)
 
 
 def _ipv4(key: str, value: Column, back: bool) -> Column:
@@ -210,9 +253,11 @@ def _date(key: str, value: Column, back: bool) -> Column:
 
     def of(p: Column) -> Column:
         def day(y: int, m: int, d: int) -> Column:
-            return F.try_to_timestamp(F.concat_ws("-", p[y], p[m], p[d]), F.lit("yyyy-MM-dd")).cast("date")
+            text = F.concat_ws("-", p[y], F.lpad(p[m], 2, "0"), F.lpad(p[d], 2, "0"))
+            return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
 
         year_first = F.length(p[0]) == 4
+        short = F.exists(p, lambda x: F.length(x) == 1)
         month_first = ~year_first & (sep != ".") & day(2, 0, 1).isNotNull()
         parsed = F.when(year_first, day(0, 1, 2)).otherwise(
             F.when(month_first, day(2, 0, 1)).otherwise(day(2, 1, 0))
@@ -233,12 +278,13 @@ def _date(key: str, value: Column, back: bool) -> Column:
                 a, b, c = (F.date_format(x, k) for k in f)
                 return F.concat(a, sep, b, sep, c)
 
-            return let(
+            padded = let(
                 new,
                 lambda x: F.when(year_first, parts(x, "yyyy", "MM", "dd"))
                 .when(month_first, parts(x, "MM", "dd", "yyyy"))
                 .otherwise(parts(x, "dd", "MM", "yyyy")),
             )
+            return let(padded, lambda x: F.when(short, F.regexp_replace(x, "(?<![0-9])0", "")).otherwise(x))
 
         number = F.datediff(parsed, F.lit(FIRST_DAY).cast("date"))
         return let(
@@ -285,8 +331,77 @@ def _mail(key: str, value: Column, back: bool) -> Column:
     return let(_rounds(state, half, 4, back), lambda s: F.concat(s["a"], s["b"], rest))
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text as gaps, each with the match behind it; the last has none."""
+    return F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
+    )
+
+
+def _piece(gap: Column, value: Column) -> Column:
+    return F.array(F.struct(gap.alias("gap"), value.alias("value")))
+
+
+def _cards(run: Column) -> Column:
+    """A run of digit groups as pieces whose values are valid cards."""
+    nothing = F.lit(None).cast("string")
+
+    def marked(groups: Column) -> Column:
+        def mark(group: Column, i: Column) -> Column:
+            part = [_digits(group), *[_digits(F.get(groups, i + k)) for k in (1, 2, 3)]]
+            long = [F.coalesce(F.length(x), F.lit(0)) for x in part]
+            four = (long[0] == 4) & (long[1] == 4) & (long[2] == 4) & long[3].between(1, 7)
+            three = (long[0] == 4) & (long[1] == 6) & long[2].between(4, 5)
+            return F.concat(
+                F.when(long[0].between(13, 19) & luhn_valid(part[0]), "S")
+                .when(four & luhn_valid(F.concat(*part)), "C")
+                .when(three & luhn_valid(F.concat(*part[:3])), "D")
+                .otherwise("X"),
+                group,
+            )
+
+        return F.array_join(F.transform(groups, mark), "")
+
+    def bare(text: Column) -> Column:
+        return F.regexp_replace(text, "[A-Z]", "")
+
+    def whole(digits: Column) -> Column:
+        card = F.when(F.length(digits) <= 19, luhn_valid(digits))
+        return F.when(card, F.concat(_piece(F.lit(""), run), _piece(F.lit(""), nothing))).otherwise(_piece(run, nothing))
+
+    return let(
+        let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), marked),
+        lambda text: F.when(
+            text.rlike(MARKED),
+            F.transform(
+                _pieces(text, MARKED), lambda p: F.struct(bare(p["gap"]).alias("gap"), bare(p["value"]).alias("value"))
+            ),
+        ).otherwise(let(_digits(run), whole)),
+    )
+
+
+def find_values(text: Column) -> Column:
+    """The text as gaps, each with the value behind it that ``pseudonym`` takes; the last has none."""
+    nothing = F.lit(None).cast("string")
+
+    def between(p: Column) -> Column:
+        return F.concat(_pieces(p["gap"], NUMBERS), _piece(F.lit(""), p["value"]))
+
+    def opened(p: Column) -> Column:
+        return F.concat(_piece(p["gap"], nothing), F.flatten(F.transform(_cards(p["value"]), between)))
+
+    run = rf"\A(?:{RUN})\z"
+    return F.flatten(
+        F.transform(
+            _pieces(text, ANY), lambda p: F.when(p["value"].rlike(run), opened(p)).otherwise(_piece(p["gap"], p["value"]))
+        )
+    )
+
+
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of one match of ``ANY``, or with ``back`` the value of a pseudonym."""
+    """The pseudonym of one value of ``find_values``, or with ``back`` the value of a pseudonym."""
     whole = lambda pattern: value.rlike(rf"\A(?:{pattern})\z")
     return (
         F.when(F.contains(value, F.lit("@")), _mail(key, value, back))
@@ -304,26 +419,26 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "pseu
     ``key`` is the secret of the permutations; ``back`` undoes them.
     """
     body = F.col(text).cast("string")
-    found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
 
-    def replaced(values: Column) -> Column:
-        return let(
-            F.transform(values, lambda v: pseudonym(v, key, back)),
-            lambda new: let(
-                F.split(body, ANY, -1),
-                lambda gaps: F.struct(
-                    F.concat(
-                        gaps[0],
-                        F.array_join(F.zip_with(new, F.slice(gaps, 2, F.size(new)), lambda v, g: F.concat(v, g)), ""),
-                    ).alias("text"),
-                    F.size(F.filter(F.zip_with(values, new, lambda a, b: a != b), lambda x: x)).alias("n"),
-                ),
-            ),
+    def replaced(pieces: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["new"], F.lit("")))), "").alias("text"),
+            F.size(F.filter(pieces, lambda p: p["value"] != p["new"])).alias("n"),
         )
 
-    done = F.when(body.rlike(GATE), let(found, lambda v: F.when(F.size(v) > 0, replaced(v))))
-    wide = docs.withColumn("_pii", done)
+    renamed = F.transform(
+        find_values(body),
+        lambda p: F.struct(
+            p["gap"].alias("gap"), p["value"].alias("value"),
+            F.when(p["value"].isNotNull(), pseudonym(p["value"], key, back)).alias("new"),
+        ),
+    )
+    done = F.when(body.rlike(GATE) & body.rlike(ANY), let(renamed, replaced))
+    held = "_pii"
+    while held in docs.columns:
+        held += "_"
+    wide = docs.withColumn(held, done)
     return wide.withColumns({
-        out: F.coalesce(F.col("_pii.text"), body),
-        f"{out}_count": F.coalesce(F.col("_pii.n"), F.lit(0)).cast("long"),
-    }).drop("_pii")
+        out: F.coalesce(F.col(f"{held}.text"), body),
+        f"{out}_count": F.coalesce(F.col(f"{held}.n"), F.lit(0)).cast("long"),
+    }).drop(held)
