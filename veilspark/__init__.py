@@ -33,6 +33,7 @@ from .session import build_session, checkpoint_root
 from .sources.mapping_log import compact_logged, load_logged, log_batch, log_whole, vacuum_logged
 from .sources.mapping_store import compact_mappings, load_mappings, save_mappings
 from .sources.messages import read_message_stream, read_messages, write_masked
+from .streaming.forgetting import forgetting_mappings
 from .streaming.settled import (
     alert_settled,
     flush_settled,

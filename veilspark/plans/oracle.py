@@ -650,6 +650,7 @@ def oracle() -> dict[str, str]:
         "mask_stream_documents": mask_documents,
         "alert_stream_documents": f"SELECT doc_id FROM documents WHERE {any_match('text')}",
         "flush_mappings_messages": SPAN_MAPPINGS,
+        "flush_forgetting_messages": SPAN_MAPPINGS,
         **settled_sql(),
         "mask_utf16_messages": utf16_sql(),
         "tag_metrics_documents": tag_metrics_sql(),

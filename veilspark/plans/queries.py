@@ -631,7 +631,7 @@ def flush_settled_messages(spark, root):
     return load_mappings(spark, out)
 
 
-def flush_mappings_messages(spark, root):
+def _flushed(spark, root, **options):
     path = _scratch(spark, "flush")
     customers = read_message_stream(
         spark, root, "c_custkey long, c_nationkey int", pathGlobFilter="customer.parquet"
@@ -649,10 +649,19 @@ def flush_mappings_messages(spark, root):
         f"flush-{uuid.uuid4().hex}",
         checkpoint=f"{path}-checkpoint",
         interval=None,
+        **options,
     ).awaitTermination()
     return load_mappings(spark, path)
 
 
+def flush_mappings_messages(spark, root):
+    return _flushed(spark, root)
+
+
+def flush_forgetting_messages(spark, root):
+    return _flushed(spark, root, forget_after=3600)
+
+
 _QUERIES = (
     detect_regex_messages,
     detect_regex_documents,
@@ -724,6 +733,7 @@ _QUERIES = (
     mask_settled_messages,
     alert_settled_messages,
     flush_settled_messages,
+    flush_forgetting_messages,
     flush_mappings_messages,
 )
 

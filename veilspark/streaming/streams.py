@@ -15,6 +15,7 @@ from ..operators.tagging import Tagger
 from ..session import checkpoint_root
 from ..sources.mapping_log import compact_logged, log_batch
 from ..sources.mapping_store import compact_mappings, write_batch
+from .forgetting import forgetting_mappings
 
 FLUSH_INTERVAL = "5 seconds"
 
@@ -36,10 +37,13 @@ def alert_stream(messages: DataFrame, text: str = "text") -> DataFrame:
     return only_pii(messages, text)
 
 
-def _writer(df: DataFrame, name: str, checkpoint: str | None, interval: str | None):
+def _writer(df: DataFrame, name: str, checkpoint: str | None, interval: str | None, clock: bool = False):
     location = checkpoint or f"{checkpoint_root(df.sparkSession)}/streams/{name}"
     writer = df.writeStream.queryName(name).option("checkpointLocation", location)
-    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    if interval:
+        return writer.trigger(processingTime=interval)
+    # state that waits for the clock always asks for one more batch: take what is there as one
+    return writer.trigger(once=True) if clock else writer.trigger(availableNow=True)
 
 
 def write_stream(
@@ -66,6 +70,7 @@ def flush_mappings(
     interval: str | None = FLUSH_INTERVAL,
     compact_every: int | None = None,
     logged: bool = False,
+    forget_after: float | None = None,
 ) -> StreamingQuery:
     """Keep a mapping store up to date with what span masking replaces in a stream.
 
@@ -74,11 +79,15 @@ def flush_mappings(
     failure replaces its batch.  With ``compact_every``, the store is rewritten as one folder
     after that many triggers; no other stream may be writing to it then.  With ``logged``, the
     store is one with a commit log, which other streams may write to and rewrite at any time.
+    With ``forget_after``, the state of a scope and mask without a message for that many seconds
+    is given up (see ``forgetting_mappings``); its entry stays in the store.  Without an
+    ``interval``, such a stream takes what is there now as one batch.
     """
     location = checkpoint or f"{checkpoint_root(messages.sparkSession)}/streams/{name}"
     run = "run" + hashlib.sha256(location.encode()).hexdigest()[:16]
     found = mask_messages(nonblank(messages, text), text, load).drop("masked")
-    state = latest_mappings(span_mapping_rows(found, scope, order))
+    rows = span_mapping_rows(found, scope, order)
+    state = latest_mappings(rows) if forget_after is None else forgetting_mappings(rows, forget_after)
 
     def flush_logged(changed: DataFrame, batch: int) -> None:
         log_batch(changed, path, batch, run)
@@ -91,7 +100,7 @@ def flush_mappings(
             compact_mappings(changed.sparkSession, path)
 
     return (
-        _writer(state, name, location, interval)
+        _writer(state, name, location, interval, forget_after is not None)
         .outputMode("update")
         .foreachBatch(flush_logged if logged else flush)
         .start()
