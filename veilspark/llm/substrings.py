@@ -22,8 +22,8 @@ of one id are copies of one document, none is the source of another; null is the
 an empty table gives no rows; other columns are kept, except that none may be called
 ``n_words``, ``n_removed`` or ``kept`` (they are replaced).
 
-Edges are compared by the 64-bit hash of the minimizer together with 48 bits of the edge's
-own hash.
+Edges are compared by all 64 bits of the minimizer's hash and 48 of the edge's own: in a slice
+by both hashes in full, in a bucket bit by bit.  Words are not compared again at the source.
 """
 
 from __future__ import annotations
@@ -102,6 +102,8 @@ def _edges(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.Rec
         edge, low, where = edge[at], low[at], where[at]
         _, first, group = np.unique(edge, return_index=True, return_inverse=True)
         source = first[group]
+        # a hash alone is not trusted: edges of another minimizer than the first one's travel
+        source = np.where(low == low[source], source, np.arange(len(edge)))
         # rows of one id have equal coordinates: neither is the other's source
         own = (doc == doc[source]) & (start == start[source])
         later = np.flatnonzero(~own)
@@ -165,7 +167,9 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         wide = np.zeros((len(row), 8), np.uint8)
         wide[:, :BYTES] = raw[first[row] + step]
-        key = W.mix(wide.view(np.uint64).ravel()) ^ bucket[row]
+        # sorted by a mixture, compared by all bits of both hashes
+        part = wide.view(np.uint64).ravel()
+        key = W.mix(part) ^ bucket[row]
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         again = np.zeros(len(key), bool)
@@ -174,11 +178,11 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order[again]
         if not len(order):
             continue
-        d, s, key = doc[row[order]], (start[row] + step)[order], key[order]
-        order = np.lexsort((s, d, key))
-        d, s, key = d[order], s[order], key[order]
-        heads = _runs(np.append(True, key[1:] != key[:-1]))
-        source = np.repeat(heads, np.diff(np.append(heads, len(key))))
+        d, s, at, part = doc[row[order]], (start[row] + step)[order], bucket[row[order]], part[order]
+        order = np.lexsort((s, d, part, at))
+        d, s, at, part = d[order], s[order], at[order], part[order]
+        heads = _runs(np.append(True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])))
+        source = np.repeat(heads, np.diff(np.append(heads, len(part))))
         later = np.flatnonzero((d != d[source]) | (s != s[source]))
         paths = _paths(d[later], s[later], d[source[later]], s[source[later]])
         yield pa.RecordBatch.from_arrays(
