@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import staged
+from .base import free_name, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -237,5 +237,6 @@ def contaminated(
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no item contaminates, all columns."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    name = free_name(docs, "_found")
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")

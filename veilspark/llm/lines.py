@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .base import staged
+from .base import free_name, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -209,25 +209,35 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, key: str = "doc_id", tex
     return copies.unionByName(near_copies).distinct()
 
 
-def remove_repeated_lines(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns, ``text`` without the repeated lines, and how many there were: ``_lines_removed``."""
-    gone = repeated_lines(docs, least, key, text).groupBy(F.col("doc").alias("_line_doc")).agg(
-        F.collect_list("line").alias("_lines")
+def remove_repeated_lines(
+    docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", removed: str = "_lines_removed"
+) -> DataFrame:
+    """All columns, ``text`` without the repeated lines, and how many there were: ``removed``.
+
+    A column that is called like ``removed`` already is replaced.
+    """
+    names = [c for c in docs.columns if c != removed]
+    doc, places = free_name(docs, "_line_doc"), free_name(docs, "_lines")
+    gone = repeated_lines(docs, least, key, text).groupBy(F.col("doc").alias(doc)).agg(
+        F.collect_list("line").alias(places)
+    )
+    rows = docs.withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)))
+    schema = T.StructType(list(docs.select(*names).schema.fields)).add(removed, "long")
+    return rows.join(gone, doc, "left").select(*names, places).mapInArrow(
+        lambda b: _drop(b, names, text, places, removed), schema
     )
-    rows = docs.withColumn("_line_doc", F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)))
-    names = docs.columns
-    schema = T.StructType(list(docs.schema.fields)).add("_lines_removed", "long")
-    return rows.join(gone, "_line_doc", "left").select(*names, "_lines").mapInArrow(lambda b: _drop(b, names, text), schema)
 
 
-def _drop(batches: Iterator[pa.RecordBatch], names: list[str], text: str) -> Iterator[pa.RecordBatch]:
+def _drop(
+    batches: Iterator[pa.RecordBatch], names: list[str], text: str, places: str, removed: str
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = [], []
-        for old, gone in zip(batch.column(text).to_pylist(), batch.column("_lines").to_pylist(), strict=True):
+        for old, gone in zip(batch.column(text).to_pylist(), batch.column(places).to_pylist(), strict=True):
             if gone:
                 drop = set(gone)
                 old = "\n".join(x for i, x in enumerate(old.split("\n")) if i not in drop)
             texts.append(old)
             counts.append(len(gone or ()))
         columns = [pa.array(texts, batch.schema.field(n).type) if n == text else batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "_lines_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, removed])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .base import staged
+from .base import free_name, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -199,15 +199,16 @@ def with_rates(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     expectation and the same in every run.
     """
     names = [c for c in docs.columns if c not in ("rate", "copies")]
+    held = free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in W.slices(batches, "_text"):
+        for batch, texts in W.slices(batches, held):
             _, sums = model.likelihoods(texts)
             r = model.rates(model.posterior(sums))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(r)], names=[*names, "rate"])
 
     schema = T.StructType(list(docs.select(*names).schema.fields)).add("rate", "double")
-    rows = docs.select(*names, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*names, F.col(text).cast("string").alias(held)).mapInArrow(run, schema)
     return rows.withColumn("copies", copies(F.col("rate"), F.col(key)))
 
 

@@ -28,9 +28,11 @@ fragment.  From ``SMALL`` on, ``SPARE`` more fragments than needed make a pair w
 equal, non-empty one improbable (below 1e-9).
 
 Defined cases: a null text or one without words has an empty set and no link; a text of fewer
-words than ``n`` has its whole sequence as its only n-gram; rows of one id are one document
-(their sets are united); a null id is left out of the links and its own component; an empty
-table gives no rows; other columns are ignored.
+words than ``n`` has its whole sequence as its only n-gram; rows of one id with equal sets are
+one document; with different ones each has its own ``n_shingles``, a link of one is a link of
+the id, and if one is a copy of another document's set, the others are not compared further; a
+null id is left out of the links and its own component; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

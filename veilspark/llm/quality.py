@@ -267,6 +267,9 @@ def fit_quality_rules(
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All columns with the statistics, ``base_failed`` and ``kept``, prefixed with ``P``."""
+    """All columns with the statistics, ``base_failed`` and ``kept``, prefixed with ``P``.
+
+    Columns that are called so already are replaced.
+    """
     wide = text_statistics(docs).withColumn(P + "base_failed", base_failed())
     return wide.withColumn(P + "kept", verdict(rules))
