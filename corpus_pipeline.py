@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import SPACE, staged, table
+from veilspark.llm.base import SPACE, free_name, staged, table
 from veilspark.llm.decontaminate import remove_contaminated
 from veilspark.llm.lines import remove_repeated_lines
 from veilspark.llm.mixing import fit_mixture, with_rates
@@ -27,7 +27,9 @@ from veilspark.llm.quality import P, fit_quality_rules, judge_quality
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the base rule and the learned rules keep."""
     rules = fit_quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judge_quality(docs, rules).where(F.col(P + "kept")).select(*docs.columns)
+    aside = {c: free_name(docs, "x" + c) for c in docs.columns if c.startswith(P)}
+    kept = judge_quality(docs.withColumnsRenamed(aside), rules).where(F.col(P + "kept"))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which no word is left had nothing of its own, and goes.
     """
-    out = remove_repeated_lines(docs)
-    changed = F.col("_lines_removed") > 0
+    removed = free_name(docs, "_lines_removed")
+    out = remove_repeated_lines(docs, removed=removed)
+    changed = F.col(removed) > 0
     out = out.where(~changed | F.col("text").rlike(f"[^{SPACE}]"))
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -47,8 +50,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles, similarity 0.8 or more, the smallest id stays."""
     members, _ = similar_documents(docs, 5, Fraction(4, 5))
-    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
