@@ -567,9 +567,7 @@ def write_masked_documents(spark, root):
 
 
 def _document_stream(spark, root):
-    return read_message_stream(
-        spark, root, "doc_id long, text string", pathGlobFilter="documents.parquet"
-    )
+    return tables.stream(spark, root, "documents", "doc_id long, text string")
 
 
 def mask_stream_documents(spark, root):
@@ -577,7 +575,7 @@ def mask_stream_documents(spark, root):
     masked = mask_stream(_document_stream(spark, root)).select("doc_id", "masked")
     name = f"mask-{uuid.uuid4().hex}"
     write_stream(masked, path, name, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.schema(masked.schema).parquet(path)
 
 
 def alert_stream_documents(spark, root):
@@ -585,7 +583,7 @@ def alert_stream_documents(spark, root):
     alerts = alert_stream(_document_stream(spark, root)).select("doc_id")
     name = f"alert-{uuid.uuid4().hex}"
     write_stream(alerts, path, name, f"{path}-checkpoint").awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.schema(alerts.schema).parquet(path)
 
 
 def _settled(spark, root, write):
@@ -633,9 +631,7 @@ def flush_settled_messages(spark, root):
 
 def _flushed(spark, root, **options):
     path = _scratch(spark, "flush")
-    customers = read_message_stream(
-        spark, root, "c_custkey long, c_nationkey int", pathGlobFilter="customer.parquet"
-    )
+    customers = tables.stream(spark, root, "customer", "c_custkey long, c_nationkey int")
     texts = customers.select(
         F.col("c_custkey").alias("k"),
         F.col("c_nationkey").cast("string").alias("scope"),

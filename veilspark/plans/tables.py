@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.messages import read_messages
+from ..sources.messages import read_message_stream, read_messages
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -22,6 +22,15 @@ def conversations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def stream(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    """The rows of a table as a stream, be the table a file or a folder of files.
+
+    The path is a pattern that only the table's name fits: given a plain path, the source takes
+    it for a folder, and a filter by file name would leave out the files in a table's folder.
+    """
+    return read_message_stream(spark, f"{root}/{name}.parque[t]", schema)
+
+
 def _padded(value: Column, width: int, fill: str = "0") -> Column:
     return F.lpad(value.cast("string"), width, fill)
 
