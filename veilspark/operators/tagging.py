@@ -20,36 +20,55 @@ from ..schema import TAGGED_CHUNK
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _ARROW_ANSWER = to_arrow_type(TAGGED_CHUNK)
+_ARROW_TOKEN = _ARROW_ANSWER[0].type.value_type
+CHUNKS_AT_ONCE = 4096
 
 Token = dict
 Tagger = Callable[[Sequence[str]], Sequence[Sequence[Token]]]
 
 
-def _clean(token: Token) -> Token:
+def _clean(token: Token) -> tuple:
     start, end = token.get("start"), token.get("end")
-    return {
-        "word": token.get("word") or "",
-        "entity": token.get("entity") or "",
-        "score": float(token["score"]),
-        "start": None if start is None else int(start),
-        "end": None if end is None else int(end),
-    }
+    return (
+        token.get("word") or "",
+        token.get("entity") or "",
+        float(token["score"]),
+        None if start is None else int(start),
+        None if end is None else int(end),
+    )
 
 
-def _run(tagger: Tagger, chunks: Sequence[str]) -> list[dict]:
+def _run(tagger: Tagger, chunks: Sequence[str]) -> list[tuple[list[tuple], str | None]]:
     """Tag one batch; if it fails, tag its chunks one by one and skip those that fail."""
     try:
-        answers = [
-            {"tokens": [_clean(t) for t in tokens], "error": None}
-            for tokens in tagger(chunks)
-        ]
+        answers = [([_clean(t) for t in tokens], None) for tokens in tagger(chunks)]
         if len(answers) != len(chunks):
             raise ValueError(f"{len(answers)} answers for {len(chunks)} chunks")
         return answers
     except Exception as error:
         if len(chunks) > 1:
             return [_run(tagger, [chunk])[0] for chunk in chunks]
-        return [{"tokens": [], "error": f"{type(error).__name__}: {error}"}]
+        return [([], f"{type(error).__name__}: {error}")]
+
+
+def _arrow(answers: Sequence[tuple[list[tuple], str | None]]) -> pa.Array:
+    """Answers as Arrow columns."""
+    tokens = [token for found, _ in answers for token in found]
+    columns = zip(*tokens) if tokens else [()] * len(_ARROW_TOKEN)
+    fields = [pa.array(values, field.type) for values, field in zip(columns, _ARROW_TOKEN)]
+    items = pa.StructArray.from_arrays(fields, fields=list(_ARROW_TOKEN))
+    ends = np.cumsum([0, *(len(found) for found, _ in answers)])
+    errors = pa.array([error for _, error in answers], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=_ARROW_ANSWER[0].type)
+    return pa.StructArray.from_arrays([lists, errors], fields=list(_ARROW_ANSWER))
+
+
+def _parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch in runs of rows of about ``CHUNKS_AT_ONCE`` chunks; a row is never cut."""
+    before = np.cumsum(np.concatenate([[0], batch.value_lengths().fill_null(0).to_numpy()]))
+    cuts = np.flatnonzero(np.diff(before[:-1] // CHUNKS_AT_ONCE)) + 1
+    for first, last in zip([0, *cuts], [*cuts, len(batch)]):
+        yield batch.slice(first, last - first)
 
 
 def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[Column], Column]:
@@ -71,14 +90,15 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
             def tagger(chunks):
                 raise failure
 
-        for batch in batches:
-            chunks = batch.flatten().to_pylist()
-            done: list[dict] = []
+        # a batch holds as many rows as the session has it: only so many chunks of it at a time
+        # become Python objects, and their answers go back before the next ones are tagged
+        for part in (part for batch in batches for part in _parts(batch)):
+            chunks = part.flatten()
+            done = [_arrow([])]
             for i in range(0, len(chunks), batch_size):
-                done += _run(tagger, chunks[i : i + batch_size])
-            ends = np.cumsum(np.concatenate([[0], batch.value_lengths().fill_null(0).to_numpy()]))
-            answers = pa.array(done, type=_ARROW_ANSWER)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), answers)
+                done.append(_arrow(_run(tagger, chunks.slice(i, batch_size).to_pylist())))
+            ends = np.cumsum(np.concatenate([[0], part.value_lengths().fill_null(0).to_numpy()]))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done))
 
     return tag
 
