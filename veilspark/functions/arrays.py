@@ -1,8 +1,9 @@
 """Small building blocks over array columns: binding, slicing, sequential folds.
 
 Spark has no sequential scan over an array, and an ``aggregate`` that appends to one
-output array copies that array at every step.  ``fold_emit`` appends to short blocks
-instead, so the copying stays linear in the length of the array.
+output array copies that array, with all that is in it, at every step.  ``fold_emit`` appends
+to blocks instead, as many as each has elements, which leaves the least to copy.  Steps are
+cheap as long as state and output are a few numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BLOCK_BITS = 6  # fold_emit: 64 elements per block
 _TEXT_BITS = 8  # text_blocks: 256 characters per block
 _TEXT_BLOCK = 1 << _TEXT_BITS
 
@@ -54,21 +54,22 @@ def fold_emit(
             lambda r: outcome(r["state"], F.concat(acc["out"], r["out"])),
         )
 
-    def block(acc: Column, part: Column) -> Column:
-        return let(
-            F.aggregate(part, outcome(acc["state"], empty(element)), one),
-            lambda done: outcome(done["state"], F.array_append(acc["out"], done["out"])),
-        )
-
     def run(bound: Column) -> Column:
-        last = F.shiftright(F.size(bound) - 1, _BLOCK_BITS)
-        parts = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda b: F.slice(bound, F.shiftleft(b, _BLOCK_BITS) + 1, 1 << _BLOCK_BITS),
-        )
+        size = F.ceil(F.sqrt(F.size(bound))).cast("int")
+
+        def block(acc: Column, first: Column) -> Column:
+            # sliced here, not by a transform before, which would copy every item
+            return F.aggregate(
+                F.slice(bound, first, size),
+                outcome(acc["state"], empty(element)),
+                one,
+                lambda done: outcome(done["state"], F.array_append(acc["out"], done["out"])),
+            )
+
         start = outcome(zero, empty(T.ArrayType(element)))
+        firsts = F.sequence(F.lit(1), F.size(bound), size)
         return F.when(
-            F.size(bound) > 0, F.flatten(F.aggregate(parts, start, block)["out"])
+            F.size(bound) > 0, F.flatten(F.aggregate(firsts, start, block)["out"])
         ).otherwise(empty(element))
 
     return let(items, run)

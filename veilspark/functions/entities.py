@@ -14,7 +14,7 @@ from ..schema import CHUNK, DETECTION, ENTITY, ML_DETECTION, TOKEN, WORD
 from .arrays import cut, empty, fold_emit, let, outcome, text_blocks
 from .labels import map_entity, min_confidence
 from .resolve import overlaps, span_end
-from .text import is_blank, js_trim
+from .text import is_blank, trim_word
 from .validity import is_valid
 
 CHUNK_SIZE = 150
@@ -42,9 +42,11 @@ def chunk_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 def locate_token(token: Column, chunk: Column) -> Column:
     """Token with offsets in the text: its own, or its first occurrence in the chunk, or none."""
     known = token["start"].isNotNull() & token["end"].isNotNull()
-    clean = F.when(
-        ~known, js_trim(F.regexp_replace(F.regexp_replace(token["word"], "^▁", ""), "^##", ""))
-    )
+    bare = token["word"]
+    for mark in ("##", "▁", "▁##"):
+        rest = F.substring(token["word"], len(mark) + 1, 1 << 30)
+        bare = F.when(token["word"].startswith(mark), rest).otherwise(bare)
+    clean = F.when(~known, trim_word(bare))
 
     def build(word: Column) -> Column:
         found = F.when(F.length(word) > 0, F.position(word, chunk["text"])).otherwise(F.lit(0))
@@ -80,7 +82,19 @@ def locate_tokens(chunks: Column, tagged: Column) -> Column:
 def join_subwords(tokens: Column) -> Column:
     """Words: a token and the ``##`` pieces behind it; pieces before the first word are dropped."""
 
-    def word(parts: Column) -> Column:
+    def single(parts: Column) -> Column:
+        token = parts[0]
+        return F.struct(
+            token["word"].alias("piece"),
+            F.coalesce(token["word"], F.lit("")).alias("word"),
+            token["entity"].alias("entity"),
+            token["score"].alias("score"),
+            token["start"].alias("start"),
+            token["end"].alias("end"),
+            F.lit(None).cast("int").alias("sub_end"),
+        )
+
+    def several(parts: Column) -> Column:
         head = parts[0]
         pieces = F.transform(
             parts, lambda p, i: F.when(i == 0, p["word"]).otherwise(F.substring(p["word"], 3, 1 << 30))
@@ -99,6 +113,9 @@ def join_subwords(tokens: Column) -> Column:
             F.try_element_at(ends, F.lit(-1)).alias("sub_end"),
         )
 
+    def word(parts: Column) -> Column:
+        return F.when(F.size(parts) == 1, single(parts)).otherwise(several(parts))
+
     def build(toks: Column) -> Column:
         heads = F.filter(
             F.transform(
@@ -127,18 +144,20 @@ def join_subwords(tokens: Column) -> Column:
 def fill_positions(words: Column, text: Column) -> Column:
     """Search words without a start in the text, each behind the word before it."""
 
-    def placed(word: Column, start: Column, end: Column) -> Column:
+    def placed(word: Column, found: Column) -> Column:
         return F.struct(
             word["piece"].alias("piece"),
             word["word"].alias("word"),
             word["entity"].alias("entity"),
             word["score"].alias("score"),
-            start.alias("start"),
-            F.coalesce(word["sub_end"], end).alias("end"),
+            F.coalesce(word["start"], found).alias("start"),
+            F.coalesce(word["sub_end"], found + F.length(word["piece"]), word["end"]).alias("end"),
             word["sub_end"].alias("sub_end"),
         )
 
     def search(t: Column, bound: Column) -> Column:
+        """Per word where it is found, null if it has a start; the words themselves stay aside."""
+
         def step(last: Column, word: Column) -> Column:
             piece = word["piece"]
             # contains rules a word out much faster than position, which most often finds none
@@ -149,62 +168,68 @@ def fill_positions(words: Column, text: Column) -> Column:
             )
 
             def place(found: Column) -> Column:
-                return placed(
-                    word,
-                    F.coalesce(word["start"], found),
-                    F.coalesce(found + F.length(piece), word["end"]),
-                )
+                end = F.coalesce(word["sub_end"], found + F.length(piece), word["end"])
+                return outcome(F.coalesce(end, last), F.array(found))
 
-            missing = word["start"].isNull()
-            found = F.when(missing, let(at, lambda a: F.when(a > 0, a - 1)))
-            return let(
-                let(found, place),
-                lambda done: outcome(F.coalesce(done["end"], last), F.array(done)),
-            )
+            found = F.when(word["start"].isNull(), let(at, lambda a: F.when(a > 0, a - 1)))
+            return let(found, place)
 
-        return fold_emit(bound, F.lit(0), step, WORD)
+        return fold_emit(bound, F.lit(0), step, T.IntegerType())
 
     def build(bound: Column) -> Column:
         missing = F.exists(bound, lambda w: w["start"].isNull())
-        as_is = F.transform(bound, lambda w: placed(w, w["start"], w["end"]))
-        return F.when(missing, let(text, lambda t: search(t, bound))).otherwise(as_is)
+        as_is = F.transform(bound, lambda w: placed(w, F.lit(None).cast("int")))
+        searched = F.zip_with(bound, let(text, lambda t: search(t, bound)), placed)
+        return F.when(missing, searched).otherwise(as_is)
 
     return let(words, build)
 
 
+def _nothing(schema: T.StructType) -> Column:
+    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+# An entity as ``merge_entities`` finds it: its first word, how many, and their place.
+_MERGED = T.StructType([
+    T.StructField("first", T.IntegerType()),
+    T.StructField("n", T.IntegerType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("start", T.IntegerType()),
+    T.StructField("end", T.IntegerType()),
+])
+
+
 def merge_entities(words: Column, text: Column) -> Column:
     """Merge neighbouring words of one type, at most two characters apart, into entities.
 
     The text of a merged entity is cut from the source and its score is the lowest one.
     """
 
-    def nothing(schema: T.StructType) -> Column:
-        return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-    def opened(word: Column, kind: Column) -> Column:
-        return F.struct(
-            word["entity"].alias("entity"),
-            kind.alias("type"),
-            word["word"].alias("word"),
-            word["score"].alias("score"),
-            word["start"].alias("start"),
-            word["end"].alias("end"),
-        )
-
     def build(bound: Column, blocks: Column) -> Column:
         def source(start: Column, end: Column) -> Column:
             low = F.least(start, end)
             return cut(blocks, low, F.greatest(start, end) - low)
 
-        def closed(current: Column) -> Column:
-            # the text of a merged entity is only cut when the entity is complete
-            merged = source(current["start"], current["end"])
-            return current.withField("word", F.coalesce(current["word"], merged))
+        def shown(found: Column) -> Column:
+            """The text of an entity, which is only cut when the entity is complete."""
+            single = F.when(found["n"] == 1, bound[found["first"]]["word"])
+            return F.coalesce(single, source(found["start"], found["end"]))
+
+        # the fold carries numbers and the type: state and output are copied at every step
+        def opened(at: Column, word: Column) -> Column:
+            return F.struct(
+                (at + 1).alias("at"),
+                at.alias("first"),
+                F.lit(1).alias("n"),
+                map_entity(word["entity"]).alias("type"),
+                word["score"].alias("score"),
+                word["start"].alias("start"),
+                word["end"].alias("end"),
+            )
 
         def step(current: Column, word: Column) -> Column:
-            kind = map_entity(word["entity"])
+            at = current["at"]
             gap = word["start"] - current["end"]
-            near = (kind == current["type"]) & gap.between(0, 2) & current["start"].isNotNull()
             # what the word adds is nearly always visible; only if not, look at the whole
             grows = (word["end"] > current["end"]) & (current["end"] >= current["start"])
             added = F.when(grows, source(current["end"], word["end"]))
@@ -212,33 +237,45 @@ def merge_entities(words: Column, text: Column) -> Column:
                 ~is_blank(source(current["start"], word["end"]))
             )
 
+            near = gap.between(0, 2) & current["start"].isNotNull()
+            near = near & (map_entity(word["entity"]) == current["type"])
+
             def decide(fits: Column) -> Column:
                 joined = F.struct(
-                    current["entity"].alias("entity"),
+                    (at + 1).alias("at"),
+                    current["first"].alias("first"),
+                    (current["n"] + 1).alias("n"),
                     current["type"].alias("type"),
-                    F.lit(None).cast("string").alias("word"),
                     F.least(current["score"], word["score"]).alias("score"),
                     current["start"].alias("start"),
                     word["end"].alias("end"),
                 )
                 # only the entity closed by the end of the text must have a visible word
-                last = word["piece"].isNull()
+                last = at == F.size(bound)
+                kept = F.array(F.struct(*[current[f.name].alias(f.name) for f in _MERGED]))
                 out = F.when(
                     ~fits & current["start"].isNotNull(),
-                    let(
-                        closed(current),
-                        lambda c: F.when(last & is_blank(c["word"]), empty(ENTITY)).otherwise(
-                            F.array(c)
-                        ),
-                    ),
-                ).otherwise(empty(ENTITY))
-                return outcome(F.when(fits, joined).otherwise(opened(word, kind)), out)
+                    F.when(last & is_blank(shown(current)), empty(_MERGED)).otherwise(kept),
+                ).otherwise(empty(_MERGED))
+                return outcome(F.when(fits, joined).otherwise(opened(at, word)), out)
 
             return let(F.when(near, visible).otherwise(F.lit(False)), decide)
 
+        def entity(found: Column) -> Column:
+            tag = bound[found["first"]]["entity"]
+            return F.struct(
+                tag.alias("entity"),
+                map_entity(tag).alias("type"),
+                shown(found).alias("word"),
+                found["score"].alias("score"),
+                found["start"].alias("start"),
+                found["end"].alias("end"),
+            )
+
         # a last, empty item closes the entity that is still open
-        items = F.concat(bound, F.array(nothing(WORD)))
-        return fold_emit(items, nothing(ENTITY), step, ENTITY)
+        items = F.concat(bound, F.array(_nothing(WORD)))
+        found = fold_emit(items, opened(F.lit(-1), _nothing(WORD)), step, _MERGED)
+        return F.transform(found, entity)
 
     return let(words, lambda w: let(text_blocks(text), lambda b: build(w, b)))
 
@@ -284,30 +321,23 @@ def filter_confidence_hybrid(found: Column) -> Column:
     return F.filter(found, lambda m: m["score"] >= min_confidence(m["type"], 1))
 
 
+# What acceptance compares of a candidate: numbers only, as items are copied at every step.
 _ITEM = T.StructType([
-    T.StructField("lo", T.IntegerType()),
-    T.StructField("no", T.IntegerType()),
-    T.StructField("hi", T.IntegerType()),
-    T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()),
-    T.StructField("stop", T.IntegerType()),
-    T.StructField("hit", DETECTION),
+    T.StructField(name, T.IntegerType())
+    for name in ("lo", "no", "hi", "start", "end", "index", "stop")
 ])
 
 
-def _item(hit: Column, no: Column, start: Column, end: Column) -> Column:
-    """``start`` to ``end`` is what a candidate claims, index to ``stop`` what it takes."""
-    return let(
-        span_end(hit),
-        lambda stop: F.struct(
-            F.least(start, end).alias("lo"),
-            no.cast("int").alias("no"),
-            F.greatest(start, end, stop).alias("hi"),
-            start.alias("start"),
-            end.alias("end"),
-            stop.alias("stop"),
-            hit.alias("hit"),
-        ),
+def _item(no: Column, index: Column, stop: Column, start: Column, end: Column) -> Column:
+    """``start`` to ``end`` is what a candidate claims, ``index`` to ``stop`` what it takes."""
+    return F.struct(
+        F.least(start, end).alias("lo"),
+        no.cast("int").alias("no"),
+        F.greatest(start, end, stop).alias("hi"),
+        start.alias("start"),
+        end.alias("end"),
+        index.alias("index"),
+        stop.alias("stop"),
     )
 
 
@@ -316,24 +346,26 @@ def _clusters(items: Column) -> Column:
 
     def step(state: Column, item: Column) -> Column:
         apart = item["lo"].isNull() | (item["lo"] >= state["reach"])
-        now = F.when(
-            apart, F.struct(item["hi"].alias("reach"), F.array(item).alias("open"))
-        ).otherwise(
-            F.struct(
-                F.greatest(state["reach"], item["hi"]).alias("reach"),
-                F.array_append(state["open"], item).alias("open"),
-            )
-        )
-        complete = apart & (F.size(state["open"]) > 0)
-        return outcome(
-            now, F.when(complete, F.array(state["open"])).otherwise(empty(T.ArrayType(_ITEM)))
+        reach = F.when(apart, item["hi"]).otherwise(F.greatest(state["reach"], item["hi"]))
+        now = F.struct((state["at"] + 1).alias("at"), reach.alias("reach"))
+        first = apart | (state["at"] == 1)
+        return outcome(now, F.when(first, F.array(state["at"])).otherwise(empty(T.IntegerType())))
+
+    def groups(ordered: Column) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("reach"))
+        return let(
+            fold_emit(ordered, start, step, T.IntegerType()),
+            lambda firsts: F.transform(
+                firsts,
+                lambda first, k: F.slice(
+                    ordered,
+                    first,
+                    F.coalesce(F.get(firsts, k + 1), F.size(ordered) + 1) - first,
+                ),
+            ),
         )
 
-    # a last, empty item completes the group that is still open
-    last = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _ITEM.fields])
-    start = F.struct(F.lit(0).alias("reach"), empty(_ITEM).alias("open"))
-    ordered = F.concat(F.sort_array(items), F.array(last))
-    return fold_emit(ordered, start, step, T.ArrayType(_ITEM))
+    return let(F.sort_array(items), groups)
 
 
 def detect_hybrid(spans: Column, found: Column) -> Column:
@@ -351,38 +383,40 @@ def detect_hybrid(spans: Column, found: Column) -> Column:
     def accept(taken: Column, entry: Column) -> Column:
         x = entry["x"]
         blocked = (x["no"] >= 0) & F.exists(
-            taken,
-            lambda a: overlaps(a["hit"]["index"], a["stop"], x["start"], x["end"]),
+            taken, lambda a: overlaps(a["index"], a["stop"], x["start"], x["end"])
         )
         return F.when(blocked, taken).otherwise(F.array_append(taken, x))
 
     def choose(group: Column) -> Column:
+        """The numbers of the entities of a group that are accepted."""
         taken = F.when(F.size(group) == 1, group).otherwise(
             F.aggregate(by_arrival(group), empty(_ITEM), accept)
         )
-        return F.filter(taken, lambda x: x["no"] >= 0)
+        return F.filter(F.transform(taken, lambda x: x["no"]), lambda no: no >= 0)
+
+    def detection(m: Column) -> Column:
+        return F.struct(
+            m["type"].alias("type"),
+            m["value"].alias("value"),
+            m["start"].alias("index"),
+            F.lit("ml").alias("source"),
+            m["score"].alias("confidence"),
+        )
 
     def build(bound: Column, entities: Column) -> Column:
         hits = F.transform(
-            bound, lambda s: _item(s, F.lit(-1), s["index"], span_end(s))
+            bound,
+            lambda s: let(span_end(s), lambda e: _item(F.lit(-1), s["index"], e, s["index"], e)),
         )
         candidates = F.transform(
             entities,
             lambda m, i: _item(
-                F.struct(
-                    m["type"].alias("type"),
-                    m["value"].alias("value"),
-                    m["start"].alias("index"),
-                    F.lit("ml").alias("source"),
-                    m["score"].alias("confidence"),
-                ),
-                i,
-                m["start"],
-                m["end"],
+                i, m["start"], m["start"] + F.length(m["value"]), m["start"], m["end"]
             ),
         )
         chosen = F.flatten(F.transform(_clusters(F.concat(hits, candidates)), choose))
-        return F.concat(bound, F.transform(by_arrival(chosen), lambda c: c["x"]["hit"]))
+        accepted = F.transform(F.sort_array(chosen), lambda no: detection(entities[no]))
+        return F.concat(bound, accepted)
 
     kept = filter_confidence_hybrid(found)
     return let(

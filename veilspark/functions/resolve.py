@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import DETECTION
 from .arrays import cut, empty, fold_emit, let, outcome, text_blocks
@@ -26,27 +27,38 @@ def resolve_overlaps(spans: Column) -> Column:
     """
 
     def step(kept: Column, item: Column) -> Column:
-        span = item["span"]
-        solid = F.length(span["value"]) > 0
-        blocked = (span["index"] < kept["end"]) & (solid | (span["index"] > kept["index"]))
+        solid = item["end"] > item["index"]
+        blocked = (item["index"] < kept["end"]) & (solid | (item["index"] > kept["index"]))
         state = F.when(
-            ~blocked & solid,
-            F.struct(span["index"].alias("index"), span_end(span).alias("end")),
+            ~blocked & solid, F.struct(item["index"].alias("index"), item["end"].alias("end"))
         ).otherwise(kept)
-        return outcome(state, F.when(blocked, empty(DETECTION)).otherwise(F.array(span)))
+        none = empty(T.IntegerType())
+        return outcome(state, F.when(blocked, none).otherwise(F.array(item["no"])))
 
     def fold(bound: Column) -> Column:
-        # the ordinal keeps the sort stable and decides before any other field is compared
+        # numbers only, as items are copied: the ordinal keeps the sort stable and names the span
         order = F.sort_array(
             F.transform(
                 bound,
-                lambda s, i: F.struct(s["index"].alias("at"), i.alias("no"), s.alias("span")),
+                lambda s, i: F.struct(s["index"].alias("index"), i.alias("no"), span_end(s).alias("end")),
             )
         )
         start = F.struct(F.lit(-1).alias("index"), F.lit(-1).alias("end"))
-        return F.when(F.size(bound) > 1, fold_emit(order, start, step, DETECTION)).otherwise(
-            bound
-        )
+
+        def keep(ordered: Column) -> Column:
+            # nearly always all are apart, and no fold is needed to see that all stay
+            apart = F.forall(
+                F.sequence(F.lit(1), F.size(ordered) - 1),
+                lambda i: (ordered[i - 1]["end"] <= ordered[i]["index"])
+                & (ordered[i - 1]["end"] > ordered[i - 1]["index"]),
+            )
+            plain = (ordered[0]["index"] >= 0) & apart
+            numbers = F.when(plain, F.transform(ordered, lambda x: x["no"])).otherwise(
+                fold_emit(ordered, start, step, T.IntegerType())
+            )
+            return F.transform(numbers, lambda no: bound[no])
+
+        return F.when(F.size(bound) > 1, let(order, keep)).otherwise(bound)
 
     return let(spans, fold)
 

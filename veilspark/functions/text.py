@@ -31,6 +31,12 @@ def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, _TRIM, "")
 
 
+def trim_word(word: Column) -> Column:
+    """``js_trim`` of a word: the pattern is only tried where an end is not visible ASCII."""
+    visible = F.ascii(word).between(33, 126) & F.ascii(F.substring(word, -1, 1)).between(33, 126)
+    return F.when(visible, word).otherwise(js_trim(word))
+
+
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return ~F.coalesce(text.rlike(f"[^{JAVA_SPACE}]"), F.lit(False))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .arrays import let
 from .labels import plain_type
-from .text import js_trim
+from .text import trim_word
 
 
 def _digits(word: Column) -> Column:
@@ -23,7 +23,7 @@ def valid_length(word: Column, kind: Column) -> Column:
 
 
 def valid_charmix(word: Column, kind: Column) -> Column:
-    mixed = word.rlike("[a-zA-Z]") & word.rlike("[0-9]")
+    mixed = word.rlike("[0-9]") & word.rlike("[a-zA-Z]")
     plain = ~word.contains("@") & ~word.contains(".")
     return ~(mixed & plain) | kind.isin("username", "pass", "driverlicense")
 
@@ -72,7 +72,7 @@ RULES = {
 
 def is_valid(word: Column, kind: Column) -> Column:
     """All rules together, on the entity's word and type as they come."""
-    parts = F.struct(js_trim(F.lower(word)).alias("word"), plain_type(kind).alias("kind"))
+    parts = F.struct(F.lower(trim_word(word)).alias("word"), plain_type(kind).alias("kind"))
     return let(
         parts,
         lambda p: reduce(and_, [rule(p["word"], p["kind"]) for rule in RULES.values()]),
