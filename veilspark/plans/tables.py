@@ -64,19 +64,28 @@ def message_text(k: Column) -> Column:
     return text
 
 
-def messages(spark: SparkSession, root: str) -> DataFrame:
-    """A message per customer: ``k``, ``scope`` (the nation) and ``text``."""
+def messages(spark: SparkSession, root: str, parts: int | None = None) -> DataFrame:
+    """A message per customer: ``k``, ``scope`` (the nation) and ``text``.
+
+    ``parts`` deals the customers over so many tasks before the texts are made of them.
+    """
     customers = spark.read.parquet(f"{root}/customer.parquet")
     rows = customers.select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("scope")
     )
-    return rows.withColumn("text", message_text(F.col("k")))
+    dealt = rows if parts is None else rows.repartition(parts)
+    return dealt.withColumn("text", message_text(F.col("k")))
 
 
 def letters(spark: SparkSession, root: str, *more: str) -> DataFrame:
-    """The messages behind a salutation: entities both clear of pattern hits and inside them."""
+    """The messages behind a salutation: entities both clear of pattern hits and inside them.
+
+    Their keys are read from very few and small file splits, which would leave the tagger's work
+    to as few tasks: they are dealt over as many as a shuffle has.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.concat(F.lit("Dear Bob Stone, "), F.col("text"))
-    return messages(spark, root).select("k", *more, text.alias("text"))
+    return messages(spark, root, parts).select("k", *more, text.alias("text"))
 
 
 def settings(spark: SparkSession, root: str) -> DataFrame:
