@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import cut, let, text_blocks
 from ..functions.entities import (
     chunk_text,
     detect_ml,
@@ -411,13 +411,17 @@ def join_subword_rows_documents(spark, root):
 
 def merge_entity_rows_documents(spark, root):
     """Words that stand where they are said to, as rows; entities by gaps and islands."""
-    placed = F.filter(
-        fill_positions(_words(), F.col("text")),
-        lambda w: (w["start"] < w["end"])
-        & (F.lower(F.substring("text", w["start"] + 1, w["end"] - w["start"])) == F.lower(w["word"])),
-    )
+
+    def placed(blocks):
+        return F.filter(
+            fill_positions(_words(), F.col("text")),
+            lambda w: (w["start"] < w["end"])
+            & (F.lower(cut(blocks, w["start"], w["end"] - w["start"])) == F.lower(w["word"])),
+        )
+
     path = _scratch(spark, "word-rows")
-    _rows(_tagged(spark, root), "doc_id", placed, "word_no").write.parquet(path)
+    words = let(text_blocks(F.col("text")), placed)
+    _rows(_tagged(spark, root), "doc_id", words, "word_no").write.parquet(path)
     tiles = tile_rows(chunk_rows(tables.documents(spark, root), "doc_id"), "doc_id")
     merged = merge_entity_rows(spark.read.parquet(path), "doc_id", tiles=tiles).drop("n_words")
     return _number(merged, ["first_word"], "entity_no")
