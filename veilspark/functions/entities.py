@@ -46,24 +46,26 @@ def locate_token(token: Column, chunk: Column) -> Column:
     for mark in ("##", "▁", "▁##"):
         rest = F.substring(token["word"], len(mark) + 1, 1 << 30)
         bare = F.when(token["word"].startswith(mark), rest).otherwise(bare)
-    clean = F.when(~known, trim_word(bare))
-
-    def build(word: Column) -> Column:
-        found = F.when(F.length(word) > 0, F.position(word, chunk["text"])).otherwise(F.lit(0))
-        start = F.when(known, token["start"]).when(found > 0, found - 1) + chunk["offset"]
-        end = (
-            F.when(known, token["end"]).when(found > 0, found - 1 + F.length(word))
-            + chunk["offset"]
-        )
+
+    def placed(start: Column, end: Column) -> Column:
         return F.struct(
             token["word"].alias("word"),
             token["entity"].alias("entity"),
             token["score"].alias("score"),
-            start.alias("start"),
-            end.alias("end"),
+            (start + chunk["offset"]).alias("start"),
+            (end + chunk["offset"]).alias("end"),
         )
 
-    return let(clean, build)
+    def search(word: Column) -> Column:
+        # sought once: every use of an expression evaluates it anew
+        at = F.when(F.length(word) > 0, F.position(word, chunk["text"]) - 1)
+
+        def build(found: Column) -> Column:
+            return placed(F.when(found >= 0, found), F.when(found >= 0, found + F.length(word)))
+
+        return let(at, build)
+
+    return F.when(known, placed(token["start"], token["end"])).otherwise(let(trim_word(bare), search))
 
 
 def locate_tokens(chunks: Column, tagged: Column) -> Column:
@@ -341,8 +343,8 @@ def _item(no: Column, index: Column, stop: Column, start: Column, end: Column) -
     )
 
 
-def _clusters(items: Column) -> Column:
-    """Groups of items with nothing of one reaching into another, by a sweep over the text."""
+def _clusters(ordered: Column) -> Column:
+    """Groups of sorted items with nothing of one reaching into another, by a sweep over the text."""
 
     def step(state: Column, item: Column) -> Column:
         apart = item["lo"].isNull() | (item["lo"] >= state["reach"])
@@ -351,21 +353,27 @@ def _clusters(items: Column) -> Column:
         first = apart | (state["at"] == 1)
         return outcome(now, F.when(first, F.array(state["at"])).otherwise(empty(T.IntegerType())))
 
-    def groups(ordered: Column) -> Column:
-        start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("reach"))
-        return let(
-            fold_emit(ordered, start, step, T.IntegerType()),
-            lambda firsts: F.transform(
-                firsts,
-                lambda first, k: F.slice(
-                    ordered,
-                    first,
-                    F.coalesce(F.get(firsts, k + 1), F.size(ordered) + 1) - first,
-                ),
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("reach"))
+    return let(
+        fold_emit(ordered, start, step, T.IntegerType()),
+        lambda firsts: F.transform(
+            firsts,
+            lambda first, k: F.slice(
+                ordered,
+                first,
+                F.coalesce(F.get(firsts, k + 1), F.size(ordered) + 1) - first,
             ),
-        )
+        ),
+    )
 
-    return let(F.sort_array(items), groups)
+
+def _apart(ordered: Column) -> Column:
+    """Whether no item reaches into the next one, so that each is a group of its own."""
+    apart = F.forall(
+        F.sequence(F.lit(1), F.size(ordered) - 1),
+        lambda i: ordered[i - 1]["hi"] <= ordered[i]["lo"],
+    )
+    return F.when(F.size(ordered) > 1, apart).otherwise(F.lit(True))
 
 
 def detect_hybrid(spans: Column, found: Column) -> Column:
@@ -414,9 +422,14 @@ def detect_hybrid(spans: Column, found: Column) -> Column:
                 i, m["start"], m["start"] + F.length(m["value"]), m["start"], m["end"]
             ),
         )
-        chosen = F.flatten(F.transform(_clusters(F.concat(hits, candidates)), choose))
-        accepted = F.transform(F.sort_array(chosen), lambda no: detection(entities[no]))
-        return F.concat(bound, accepted)
+
+        def accepted(ordered: Column) -> Column:
+            # nearly always all are apart, and no sweep is needed to see that all are accepted
+            chosen = F.flatten(F.transform(_clusters(ordered), choose))
+            some = F.transform(F.sort_array(chosen), lambda no: detection(entities[no]))
+            return F.when(_apart(ordered), F.transform(entities, detection)).otherwise(some)
+
+        return F.concat(bound, let(F.sort_array(F.concat(hits, candidates)), accepted))
 
     kept = filter_confidence_hybrid(found)
     return let(
