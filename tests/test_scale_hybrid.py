@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from veilspark.functions import entities
+from veilspark.operators import token_tables as rows
+from veilspark.operators.lexical import load_lexical
 from veilspark.schema import DETECTION, ML_DETECTION, TAGGED_CHUNK
 
 
@@ -41,3 +43,16 @@ def test_entities_apart_need_no_sweep(spark):
     ).orderBy("id").collect()
     assert [r["at"] for r in got] == [c[3] for c in cases]
     assert [bool(r["apart"]) for r in got] == [True, False, True, False]
+
+
+def test_chunks_grouped_by_key_are_joined_where_they_are(spark, texts):
+    df = texts("Ann Lee", None, "Bob Stone " * 40)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rows.with_entities_by_chunk(df, "id", load=load_lexical)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3  # chunks dealt, chunks grouped, texts
+        assert {r["id"]: len(r["entities"]) > 0 for r in got.collect()} == {0: True, 1: False, 2: True}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

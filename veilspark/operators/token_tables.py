@@ -88,10 +88,18 @@ def with_entities_by_chunk(
     errors: str = "ml_errors",
     parts: int | None = None,
 ) -> DataFrame:
-    """As ``with_entities``, the chunks tagged as rows; ``keys`` must tell the rows apart."""
+    """As ``with_entities``, the chunks tagged as rows; ``keys`` must tell the rows apart.
+
+    Chunks are grouped and joined by the keys as one struct, in which nulls are equal: so the join
+    finds the groups where the aggregation leaves them, and they are not shuffled once more.
+    """
+    key = F.struct(*keys)
     tagged = tag_chunk_rows(chunk_rows(df, *keys, text=text), *keys, load=load, parts=parts)
-    grouped = regroup_chunks(tagged, *keys).withColumnsRenamed({"chunks": "_chunks", "tagged": "_tagged"})
-    whole = _beside(df, grouped, list(keys)).withColumns({
+    grouped = regroup_chunks(tagged.withColumn("_r_key", key), "_r_key").withColumnsRenamed(
+        {"chunks": "_chunks", "tagged": "_tagged"}
+    )
+    joined = df.withColumn("_key", key).join(grouped, F.col("_key") == F.col("_r_key"), "left")
+    whole = joined.drop("_key", "_r_key").withColumns({
         "_chunks": F.coalesce("_chunks", empty(CHUNK)),
         "_tagged": F.coalesce("_tagged", empty(TAGGED_CHUNK)),
     })
