@@ -27,6 +27,9 @@ In sets of fewer than ``SMALL`` n-grams, and what they can be linked with, every
 fragment.  From ``SMALL`` on, ``SPARE`` more fragments than needed make a pair without an
 equal, non-empty one improbable (below 1e-9).
 
+Keys are counted in ``ROUNDS`` parts, and keys and sketches are removed from disk once no later
+step reads them; the shuffles of a step go before the next one starts.
+
 Defined cases: a null text or one without words has an empty set and no link; a text of fewer
 words than ``n`` has its whole sequence as its only n-gram; rows of one id with equal sets are
 one document; with different ones each has its own ``n_shingles``, a link of one is a link of
@@ -49,7 +52,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import staged
+from .base import release, staged
 from .components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,6 +61,7 @@ SMALL, SPARE, CLASS_RATIO = 64, 8, 1.5
 PARITY = 8  # bits of a sketch for each n-gram that two similar sets can differ in
 BITS = 52  # of a hash; the other 12 number the documents of a slice
 FRAGMENTS = 16  # in which overlaps are counted
+ROUNDS = 4  # in which keys are counted: each shuffles its part of them
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +178,24 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, t: Fraction) -> DataFram
     return rows.mapInArrow(lambda batches: _compare(batches, n, t), "a long, b long")
 
 
+def _met(single: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Each document's keys that another row has as well, with how ``often`` there are such rows.
+
+    To count the keys and to join the counts are two shuffles of all keys; both are done for one
+    part of the keys after another, and their files removed before the next.
+    """
+    keyed = single.select(
+        "doc_id", "class", "differing", F.size("keys").alias("fragments"), F.explode("keys").alias("key")
+    )
+    parts = []
+    for i in range(rounds):
+        own = keyed.where(F.pmod("key", F.lit(rounds)) == i)
+        often = own.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+        parts.append(staged(own.join(often, "key"), "ngram-met"))
+        release(single.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``.
 
@@ -184,7 +206,7 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
     t = Fraction(similarity)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     written = staged(rows.mapInArrow(lambda batches: _keys(batches, n, t), SETS), "ngram-sets")
-    sets = written.where("own").select("doc_id", "n", "signature")
+    sets = staged(written.where("own").select("doc_id", "n", "signature"), "ngram-sizes")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
     same = full.groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     copies = staged(
@@ -192,15 +214,14 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
         .where("doc_id > rep").select("doc_id", "rep").distinct(),
         "ngram-copies",
     )
+    # the keys are most of what is written: where the copies are many, this join shuffles them once
     single = written.where("n > 0").join(copies.select("doc_id"), "doc_id", "left_anti")
-    keyed = single.select(
-        "doc_id", "class", "differing", F.size("keys").alias("fragments"), F.explode("keys").alias("key")
-    )
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    single = staged(single.drop("signature", "own"), "ngram-single", instead=written)
+    release(docs.sparkSession)
     # of similar documents at most `differing` fragments are not shared: of each one's fragments,
     # the rarest first, one of the first differing + 1 is; most documents have more rare ones
     per_class = Window.partitionBy("doc_id", "differing", "fragments")
-    met = keyed.join(often, "key").select(
+    met = _met(single).select(
         "key", "doc_id", "class",
         F.row_number().over(per_class.orderBy("often", "key")).alias("place"),
         (F.col("fragments") - F.count(F.lit(1)).over(per_class)).alias("alone"),
@@ -208,9 +229,17 @@ def similar_documents(docs: DataFrame, n: int = 5, similarity: Fraction = Fracti
     )
     shared = staged(met.where("place + alone <= differing + 1").select("key", "doc_id", "class"), "ngram-keys")
     groups = shared.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = staged(shared.join(groups.where("low < high"), "key").select("key", "doc_id", "class", "low"), "ngram-keys")
-    sketches = written.where("n > 0").select("doc_id", "class", F.struct("n", "parity").alias("sketch"))
-    texts = staged(rows.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "ngram-texts")
+    shared = staged(
+        shared.join(groups.where("low < high"), "key").select("key", "doc_id", "class", "low"), "ngram-keys", instead=shared
+    )
+    open_docs = shared.select("doc_id").distinct()
+    sketches = staged(
+        single.select("doc_id", "class", F.struct("n", "parity").alias("sketch")).join(open_docs, "doc_id", "left_semi"),
+        "ngram-sketches", instead=single,
+    )
+    release(docs.sparkSession)
+    texts = staged(rows.join(open_docs, "doc_id", "left_semi"), "ngram-texts")
+    release(docs.sparkSession)
 
     def alike(x: str, y: str) -> Column:
         """Whether two sketches allow the similarity."""
