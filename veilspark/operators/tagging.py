@@ -80,6 +80,14 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
     carries the error and no token, so detection goes on with patterns only.
     """
 
+    def answers(tagger: Tagger, part: pa.Array) -> pa.Array:
+        chunks = part.flatten()
+        done = [_arrow([])]
+        for i in range(0, len(chunks), batch_size):
+            done.append(_arrow(_run(tagger, chunks.slice(i, batch_size).to_pylist())))
+        ends = np.cumsum(np.concatenate([[0], part.value_lengths().fill_null(0).to_numpy()]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done))
+
     @F.arrow_udf(T.ArrayType(TAGGED_CHUNK))
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
@@ -92,13 +100,14 @@ def token_tagger(load: Callable[[], Tagger], batch_size: int = 64) -> Callable[[
 
         # a batch holds as many rows as the session has it: only so many chunks of it at a time
         # become Python objects, and their answers go back before the next ones are tagged
-        for part in (part for batch in batches for part in _parts(batch)):
-            chunks = part.flatten()
-            done = [_arrow([])]
-            for i in range(0, len(chunks), batch_size):
-                done.append(_arrow(_run(tagger, chunks.slice(i, batch_size).to_pylist())))
-            ends = np.cumsum(np.concatenate([[0], part.value_lengths().fill_null(0).to_numpy()]))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(done))
+        for batch in batches:
+            parts = _parts(batch)
+            del batch  # gone before the next one is read
+            for part in parts:
+                yield answers(tagger, part)
+                del part
+                # workers live on from task to task, and Arrow keeps what it once had
+                pa.default_memory_pool().release_unused()
 
     return tag
 
