@@ -99,6 +99,81 @@ def test_entities_equal_arrays(spark, monkeypatch):
     assert bare.where("n_words > 1 AND word IS NOT NULL").isEmpty()
 
 
+def rows_shuffled(df):
+    """Rows that the exchanges of the plan have written once ``df`` has run, reused ones once."""
+
+    def walk(node):
+        kind, written = node.getClass().getSimpleName(), 0
+        if kind == "ReusedExchangeExec":
+            return 0
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "ShuffleExchangeExec":
+            written = node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        return written + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def words_of(texts):
+    """The capitalised words of each text with their places."""
+    import re
+
+    return [
+        (k, i, m[0], "B-PER", 0.9, m.start(), m.end())
+        for k, text in texts for i, m in enumerate(re.finditer("[A-Z][a-z]+", text or ""))
+    ]
+
+
+WORD_ROWS = "k int, word_no int, word string, entity string, score double, start int, end int"
+
+
+def test_words_and_texts_are_shuffled_once(spark):
+    texts = [(k, "Ann Lee went on. " + f"Then came Bob{'b' * k}, who is there. " * 60) for k in range(12)]
+    table, words = spark.createDataFrame(texts, "k int, text string"), words_of(texts)
+    chunks = rows.chunk_rows(table, "k")
+    tiles = rows.tile_rows(chunks, "k")
+    got = rows.merge_entity_rows(spark.createDataFrame(words, WORD_ROWS), "k", tiles=tiles)
+    shuffled = rows_shuffled(got)
+    assert got.where("n_words = 2 AND word = 'Ann Lee'").count() == 12
+    assert shuffled < 1.2 * (len(words) + chunks.count())
+    assert chunks.count() <= rows_shuffled(tiles) < 1.2 * chunks.count()
+
+
+def test_entities_over_many_blocks_and_runs(spark, monkeypatch):
+    monkeypatch.setattr(rows, "WORDS_A_BLOCK", 4)
+    monkeypatch.setattr(rows, "TILES_A_RUN", 2)
+    texts = [
+        (0, "Ab Cd, " * 30), (1, "Ab Cd, " * 30 + "x y Ef"), (2, "Ab x y Cd"), (3, "Ab"), (None, "y Ab Cd " * 9),
+        (4, "Ab y Cd " * 9), (5, None), (6, ""), (7, "Ab Cd Ef x y z " * 9),
+    ]
+    table, words = spark.createDataFrame(texts, "k int, text string"), words_of(texts)
+    words += [(8, 3, "No", "B-PER", 0.9, None, None), (8, 4, "Text", "B-PER", 0.9, 0, 4), (8, 5, "Here", "B-PER", 0.8, 5, 9)]
+    flat = spark.createDataFrame(words, WORD_ROWS)
+    islands = {}
+    for k, no, word, _, score, start, end in words:
+        if start is not None and k in islands and start - islands[k][-1][4] <= 2:
+            islands[k][-1][1] += 1
+            islands[k][-1][4] = end
+        elif start is not None:
+            islands.setdefault(k, []).append([no, 1, word, start, end])
+    of = dict(texts)
+    expected = sorted(
+        repr((k, no, n, word if n == 1 else of[k][start:end] if k in of else None, start, end))
+        for k, found in islands.items() for no, n, word, start, end in found
+    )
+    for size, overlap in ((150, 15), (8, 3)):
+        tiles = rows.tile_rows(rows.chunk_rows(table, "k", size=size, overlap=overlap), "k", size=size, overlap=overlap)
+        assert tiles.groupBy("k", "tile").count().where("count > 1").isEmpty()
+        for given in (tiles, tiles.select("k", "tile", "text")):
+            got = rows.merge_entity_rows(flat, "k", tiles=given, size=size, overlap=overlap)
+            assert rowset(got, "k", "first_word", "n_words", "word", "start", "end") == expected
+
+
 def test_whole_pipeline_over_rows(spark, texts, tmp_path):
     """Tokens stored, then words, entities and gates over rows: as the arrays give them."""
     df = texts(*TEXTS)

@@ -14,7 +14,7 @@ are read twice (tokens, words) should be stored, or the tagger behind them runs
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from .tagging import Tagger, token_tagger
 
 CHUNKS_A_BLOCK = 256
 WORDS_A_BLOCK = 8192
+TILES_A_RUN = 64
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -155,16 +156,58 @@ def join_subword_rows(tokens: DataFrame, *keys: str) -> DataFrame:
     return words
 
 
+def _place(keys: Sequence[str], tile: Column) -> Column:
+    return F.struct(*keys, F.floor(tile / TILES_A_RUN).alias("_run")).alias("_place")
+
+
 def tile_rows(chunks: DataFrame, *keys: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Texts as tiles that do not overlap, made of their chunks: keys, ``tile``, ``text``."""
+    """Texts as tiles that do not overlap, made of their chunks: keys, ``tile``, ``text``.
+
+    ``_place`` is the keys and the number of a run of tiles as one struct, in which nulls are equal: by
+    it the tiles are dealt over tasks, and ``merge_entity_rows`` finds them where they are, with no
+    second shuffle.  The tiles of a run lie together on the way, which packs better.
+    """
     step = size - overlap
-    tiles = F.array(
-        F.struct(F.col("chunk_no").alias("tile"), F.substring("text", 1, step).alias("text")),
-        F.struct((F.col("chunk_no") + 1).alias("tile"), F.substring("text", step + 1, overlap).alias("text")),
+    # only a text of one chunk may end in a chunk longer than a step; else the next one has the rest
+    count = F.when(F.col("chunk_no") == 0, F.ceil(F.length("text") / step)).otherwise(F.lit(1)).cast("int")
+    tiles = F.transform(
+        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+        lambda n: F.struct(
+            (F.col("chunk_no") + n - 1).alias("tile"), F.substring("text", (n - 1) * step + 1, step).alias("text")
+        ),
     )
     rows = chunks.select(*keys, F.explode(tiles).alias("t")).where("t.text <> ''")
-    # the end of a chunk is the beginning of the next one, where there is a next one
-    return rows.groupBy(*keys, F.col("t.tile").alias("tile")).agg(F.max("t.text").alias("text"))
+    placed = rows.select(_place(keys, F.col("t.tile")), "t.tile", "t.text").repartition("_place")
+    whole = placed.groupBy("_place", "tile").agg(F.max("text").alias("text"))
+    return whole.select(*[f"_place.{k}" for k in keys], "tile", "text", "_place")
+
+
+def _islands(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Join neighbours among the rows of words or of islands that share ``by``.
+
+    ``_no`` numbers the islands; only a row whose own is 1 may belong to the one before it.
+    """
+    inside = Window.partitionBy(*by).orderBy("first_word")
+    before = F.lag(F.struct("type", "start", "end")).over(inside)
+    near = (
+        (F.col("_no") == 1)
+        & (F.col("type") == F.col("_before.type"))
+        & F.col("_before.start").isNotNull()
+        & (F.col("start") - F.col("_before.end")).between(0, 2)
+        & F.col("end").isNotNull()  # there would be no text to show
+    )
+    opens = F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)
+    opened = rows.withColumn("_before", before).withColumn("_opens", opens).drop("_before")
+    return opened.withColumn("_no", F.sum("_opens").over(inside)).groupBy(*by, "_no").agg(
+        F.sum("n_words").alias("n_words"),
+        F.min_by("entity", "first_word").alias("entity"),
+        F.min_by("type", "first_word").alias("type"),
+        F.min("score").alias("score"),
+        F.min_by("start", "first_word").alias("start"),
+        F.max_by("end", "first_word").alias("end"),
+        F.min_by("word", "first_word").alias("word"),
+        F.min("first_word").alias("first_word"),
+    )
 
 
 def merge_entity_rows(
@@ -179,54 +222,46 @@ def merge_entity_rows(
     Returns keys, ``first_word``, ``n_words``, ``entity``, ``type``, ``score``, ``start``,
     ``end`` and, of the single words or with ``tiles`` of all, ``word``.  As the array form, but
     for words whose end lies before their start, and for merged entities of white space only.
+
+    Words are shuffled once, by blocks of a text.  What a block's neighbours or the tiles may still
+    change are its first and its last island and those of several words: they alone go further.
     """
     keys = list(keys)
-    block = F.floor(F.col("word_no") / WORDS_A_BLOCK)
-    typed = words.withColumn("type", map_entity(F.col("entity"))).withColumn("_at", block)
-    own = F.struct("type", "start", "end")
-    inside = Window.partitionBy(*keys, "_at").orderBy("word_no")
-    lasts = typed.groupBy(*keys, "_at").agg(F.max_by(own, F.col("word_no")).alias("_last"))
-    former = lasts.select(*keys, "_at", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_at")).alias("_former"))
-    known = _beside(typed.withColumn("_lag", F.lag(own).over(inside)), former, [*keys, "_at"])
-    before = F.coalesce("_lag", "_former")
-    near = (
-        (F.col("type") == before["type"])
-        & before["start"].isNotNull()
-        & (F.col("start") - before["end"]).between(0, 2)
-        & F.col("end").isNotNull()  # there would be no text to show
-    )
-    opened = known.withColumn("_opens", ~F.coalesce(near, F.lit(False))).drop("_lag", "_former")
-    opened = _numbered(opened, keys, F.col("_at"), ["word_no"], F.col("_opens"), "_no")
-    merged = opened.groupBy(*keys, "_no").agg(
-        F.min("word_no").alias("first_word"),
-        F.count("*").alias("n_words"),
-        F.min_by("entity", "word_no").alias("entity"),
-        F.min_by("type", "word_no").alias("type"),
-        F.min("score").alias("score"),
-        F.min_by("start", "word_no").alias("start"),
-        F.max_by("end", "word_no").alias("end"),
-        F.min_by("word", "word_no").alias("word"),
-    ).where("start IS NOT NULL").drop("_no")
+    names = [*keys, "first_word", "n_words", "entity", "type", "score", "start", "end", "word"]
+    block = F.floor(F.col("word_no") / WORDS_A_BLOCK).alias("_at")
+    dealt = words.select(
+        *keys, block, F.col("word_no").alias("first_word"), "entity", "score", "start", "end", "word"
+    ).repartition(*keys, "_at")
+    typed = dealt.withColumns({"type": map_entity(F.col("entity")), "n_words": F.lit(1), "_no": F.lit(1)})
+    local = _islands(typed, [*keys, "_at"])
+    following = F.lead("_no").over(Window.partitionBy(*keys, "_at").orderBy("_no"))
+    open_ended = (F.col("_no") == 1) | F.col("_following").isNull() | (F.col("n_words") > 1)
+    local = local.withColumn("_following", following).withColumn("_open", open_ended)
+    done = local.where("NOT _open AND start IS NOT NULL").select(*names)
+    joined = _islands(local.where("_open"), keys).where("start IS NOT NULL").select(*names)
     single = F.when(F.col("n_words") == 1, F.col("word"))
     if tiles is None:
-        return merged.withColumn("word", single)
+        return done.unionByName(joined.withColumn("word", single))
     step = size - overlap
     low, high = F.least("start", "end"), F.greatest("start", "end")
     first = F.floor(low / step).cast("int")
     last = F.floor(F.greatest(high - 1, low) / step).cast("int")
-    many = merged.where("n_words > 1").select(
-        *keys, "first_word", low.alias("_low"), (high - low).alias("_length"), first.alias("_first"),
-        F.explode(F.sequence(first, last)).alias("tile"),
-    )
-    met = _beside(many, tiles, [*keys, "tile"], "inner")
-    joined = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("tile", "text"))), lambda t: t["text"]), ""
-    )
-    cut = met.groupBy(*keys, "first_word", "_low", "_length", "_first").agg(joined.alias("_text")).select(
-        *keys, "first_word",
-        F.substring("_text", F.col("_low") - F.col("_first") * step + 1, F.col("_length")).alias("_cut"),
+    runs = F.sequence(F.floor(first / TILES_A_RUN), F.floor(last / TILES_A_RUN))
+    needed = F.when(F.col("n_words") > 1, runs).otherwise(F.array(F.lit(None).cast("long")))
+    if "_place" not in tiles.columns:
+        tiles = tiles.withColumn("_place", _place(keys, F.col("tile")))
+    there = tiles.select(F.col("_place").alias("_r_place"), "tile", "text")
+    ends = joined.withColumns({"_first": first, "_last": last, "_run": F.explode(needed)})
+    met = ends.withColumn("_place", F.struct(*keys, "_run")).join(
+        there, (F.col("_place") == F.col("_r_place")) & F.col("tile").between(F.col("_first"), F.col("_last")), "left"
     )
-    return _beside(merged, cut, [*keys, "first_word"]).withColumn("word", F.coalesce(single, "_cut")).drop("_cut")
+    part = F.when(F.col("text").isNotNull(), F.struct("tile", "text"))
+    whole = met.groupBy(*keys, "first_word").agg(
+        F.first(F.struct(*names[len(keys) + 1:])).alias("_own"), F.sort_array(F.collect_list(part)).alias("_parts")
+    ).select(*keys, "first_word", "_own.*", "_parts")
+    text = F.array_join(F.transform("_parts", lambda t: t["text"]), "")
+    cut = F.when(F.size("_parts") > 0, F.substring(text, low - first * step + 1, high - low))
+    return done.unionByName(whole.withColumn("word", F.coalesce(single, cut)).drop("_parts"))
 
 
 def keep_entity_rows(entities: DataFrame) -> DataFrame:
