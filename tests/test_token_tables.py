@@ -5,6 +5,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import veilspark as v
@@ -142,6 +143,10 @@ def test_words_and_texts_are_shuffled_once(spark):
     assert got.where("n_words = 2 AND word = 'Ann Lee'").count() == 12
     assert shuffled < 1.2 * (len(words) + chunks.count())
     assert chunks.count() <= rows_shuffled(tiles) < 1.2 * chunks.count()
+    together = rows.merge_entity_rows(spark.createDataFrame(words, WORD_ROWS), "k", tiles=tiles, blocks=False)
+    by_text = together.withColumn("no", F.row_number().over(Window.partitionBy("k").orderBy("first_word")))
+    assert rows_shuffled(by_text) < 1.2 * (len(words) + chunks.count())
+    assert rowset(together, *got.columns) == rowset(got, *got.columns)
 
 
 def test_entities_over_many_blocks_and_runs(spark, monkeypatch):
@@ -170,8 +175,9 @@ def test_entities_over_many_blocks_and_runs(spark, monkeypatch):
         tiles = rows.tile_rows(rows.chunk_rows(table, "k", size=size, overlap=overlap), "k", size=size, overlap=overlap)
         assert tiles.groupBy("k", "tile").count().where("count > 1").isEmpty()
         for given in (tiles, tiles.select("k", "tile", "text")):
-            got = rows.merge_entity_rows(flat, "k", tiles=given, size=size, overlap=overlap)
-            assert rowset(got, "k", "first_word", "n_words", "word", "start", "end") == expected
+            for blocks in (True, False):
+                got = rows.merge_entity_rows(flat, "k", tiles=given, size=size, overlap=overlap, blocks=blocks)
+                assert rowset(got, "k", "first_word", "n_words", "word", "start", "end") == expected
 
 
 def test_whole_pipeline_over_rows(spark, texts, tmp_path):

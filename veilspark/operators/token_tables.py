@@ -6,7 +6,8 @@ be stored and read again.  Words and entities are gaps and islands: a running nu
 starts one, then an aggregation by that number.
 
 A running number over a text never needs the whole text in one place: rows are numbered inside
-blocks of a text, and the blocks' totals, one row each, are summed up before.
+blocks of a text, and the blocks' totals, one row each, are summed up before.  Of entities, only the
+first and the last of a block meet those of the next.
 
 ``keys`` tell texts apart; keys may be null, and rows with equal keys are one text.  Tables that
 are read twice (tokens, words) should be stored, or the tagger behind them runs twice.
@@ -216,6 +217,7 @@ def merge_entity_rows(
     tiles: DataFrame | None = None,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    blocks: bool = True,
 ) -> DataFrame:
     """Entities of a table of words: neighbours of one type, at most two characters apart.
 
@@ -225,20 +227,26 @@ def merge_entity_rows(
 
     Words are shuffled once, by blocks of a text.  What a block's neighbours or the tiles may still
     change are its first and its last island and those of several words: they alone go further.
+    Without ``blocks`` a text's words are sorted in one task, and its entities stay in it: one who goes
+    on by text, and so has them in one task anyway, spares their shuffle.
     """
     keys = list(keys)
     names = [*keys, "first_word", "n_words", "entity", "type", "score", "start", "end", "word"]
-    block = F.floor(F.col("word_no") / WORDS_A_BLOCK).alias("_at")
+    block = [F.floor(F.col("word_no") / WORDS_A_BLOCK).alias("_at")] if blocks else []
+    by = [*keys, "_at"] if blocks else keys
     dealt = words.select(
-        *keys, block, F.col("word_no").alias("first_word"), "entity", "score", "start", "end", "word"
-    ).repartition(*keys, "_at")
+        *keys, *block, F.col("word_no").alias("first_word"), "entity", "score", "start", "end", "word"
+    ).repartition(*by)
     typed = dealt.withColumns({"type": map_entity(F.col("entity")), "n_words": F.lit(1), "_no": F.lit(1)})
-    local = _islands(typed, [*keys, "_at"])
-    following = F.lead("_no").over(Window.partitionBy(*keys, "_at").orderBy("_no"))
-    open_ended = (F.col("_no") == 1) | F.col("_following").isNull() | (F.col("n_words") > 1)
-    local = local.withColumn("_following", following).withColumn("_open", open_ended)
-    done = local.where("NOT _open AND start IS NOT NULL").select(*names)
-    joined = _islands(local.where("_open"), keys).where("start IS NOT NULL").select(*names)
+    local, goes_on = _islands(typed, by), F.col("n_words") > 1
+    if blocks:
+        following = F.lead("_no").over(Window.partitionBy(*by).orderBy("_no"))
+        local = local.withColumn("_following", following)
+        goes_on = goes_on | (F.col("_no") == 1) | F.col("_following").isNull()
+    local = local.withColumn("_goes_on", goes_on)
+    done = local.where("NOT _goes_on AND start IS NOT NULL").select(*names)
+    rest = local.where("_goes_on")
+    joined = (_islands(rest, keys) if blocks else rest).where("start IS NOT NULL").select(*names)
     single = F.when(F.col("n_words") == 1, F.col("word"))
     if tiles is None:
         return done.unionByName(joined.withColumn("word", single))
@@ -256,7 +264,7 @@ def merge_entity_rows(
         there, (F.col("_place") == F.col("_r_place")) & F.col("tile").between(F.col("_first"), F.col("_last")), "left"
     )
     part = F.when(F.col("text").isNotNull(), F.struct("tile", "text"))
-    whole = met.groupBy(*keys, "first_word").agg(
+    whole = (met if blocks else met.repartition(*keys)).groupBy(*keys, "first_word").agg(
         F.first(F.struct(*names[len(keys) + 1:])).alias("_own"), F.sort_array(F.collect_list(part)).alias("_parts")
     ).select(*keys, "first_word", "_own.*", "_parts")
     text = F.array_join(F.transform("_parts", lambda t: t["text"]), "")

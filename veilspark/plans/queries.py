@@ -423,7 +423,8 @@ def merge_entity_rows_documents(spark, root):
     words = let(text_blocks(F.col("text")), placed)
     _rows(_tagged(spark, root), "doc_id", words, "word_no").write.parquet(path)
     tiles = tile_rows(chunk_rows(tables.documents(spark, root), "doc_id"), "doc_id")
-    merged = merge_entity_rows(spark.read.parquet(path), "doc_id", tiles=tiles).drop("n_words")
+    # numbered by document below, so that a document's entities meet in one task anyway
+    merged = merge_entity_rows(spark.read.parquet(path), "doc_id", tiles=tiles, blocks=False).drop("n_words")
     return _number(merged, ["first_word"], "entity_no")
 
 
