@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from veilspark.session import build_session  # noqa: E402
+from veilspark.streaming import settled, streams  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,6 +27,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def checkpoints(monkeypatch, tmp_path_factory):
+    """Streams of each test in a folder of its own: tests share a session and some names of streams."""
+    folder = str(tmp_path_factory.mktemp("streams"))
+    for module in (settled, streams):
+        monkeypatch.setattr(module, "checkpoint_root", lambda spark: folder)
+
+
 @pytest.fixture
 def texts(spark):
     """A DataFrame ``(id, text)`` of the given strings."""
